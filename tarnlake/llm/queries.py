@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import bpe, quality, sharding
+from tarnlake.llm import bpe, packing, quality, sharding, tokenfiles
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +29,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 2048, 1)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), 0)
+
+
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op6_bpe": op6_bpe,
     "op7_quality_rules": op7_quality_rules,
+    "op8_packing": op8_packing,
+    "op9_token_files": op9_token_files,
 }
