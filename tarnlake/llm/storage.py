@@ -20,7 +20,7 @@ def new_file(folder_uri: str, stem: str, suffix: str):
     system, folder = _at(folder_uri)
     system.create_dir(folder, recursive=True)
     name = f"{stem}-{uuid.uuid4().hex[:12]}{suffix}"
-    return f"{folder_uri}/{name}", system.open_output_stream(f"{folder}/{name}")
+    return f"{folder_uri}/{name}", system.open_output_stream(f"{folder}/{name}", compression=None)
 
 
 def open_file(uri: str):
