@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import bpe, html, packing, quality, sharding, tokenfiles, warc
+from tarnlake.llm import bpe, html, packing, quality, sharding, tokenfiles, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -47,6 +51,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op4_topk": op4_topk,
     "op5_warc": op5_warc,
     "op6_bpe": op6_bpe,
     "op7_quality_rules": op7_quality_rules,
@@ -54,3 +59,51 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_html_extraction": op10_html_extraction,
 }
+
+_TOPK = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+           CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+_QUALITY = r"""
+WITH w AS (
+    SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+    SELECT doc_id, t, w, len(w) AS n,
+           list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    FROM w
+), g AS (
+    SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, n - 1)) AS i FROM p WHERE n >= 3)
+), d AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1
+), c AS (
+    SELECT doc_id, count(DISTINCT i + o) AS rep FROM d, (SELECT unnest([0, 1, 2]) AS o) GROUP BY doc_id
+), s AS (
+    SELECT doc_id, CAST(n AS BIGINT) AS n_words,
+           CAST(coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS BIGINT) AS word_chars,
+           CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+           CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+           CAST(coalesce(rep, 0) AS BIGINT) AS n_repeat_words,
+           len(lines) AS n_lines,
+           len(list_filter(w, x -> regexp_matches(x, '\p{L}'))) AS letter_words
+    FROM p LEFT JOIN c USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words
+            OR 100 * n_symbols > 5 * word_chars OR 100 * n_dup_lines > 40 * n_lines
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * letter_words < 50 * n_words) AS kept
+FROM s
+""".replace("\\\\", "\\")
+
+ORACLES = {"op4_topk": _TOPK, "op7_quality_rules": _QUALITY}
