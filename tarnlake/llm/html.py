@@ -1,13 +1,17 @@
-"""Main text of web pages: block zoning and nearest-URL page differencing.
+"""Main text of web pages: nearest-URL page differencing with block zones.
 
 Each page is parsed into text blocks ("lines") with a zone: content (inside an article or main element),
-plain, or chrome (menus, headers, footers, sidebars, notices, adverts, forms, comments; dropped). Pages of
-one host are sorted by URL path and paired with their neighbour; the lines of a pair are aligned by longest
-common subsequence and shared lines are deleted as the site's boilerplate.
+plain, or chrome (menus, headers, footers, sidebars, notices, adverts, forms, comments). Pages of one host
+are sorted by URL path and paired with their neighbour; the lines of a pair are aligned by longest common
+subsequence and shared lines are deleted as the site's boilerplate.
 
-Deletion holds for plain lines only: passages and whole copies recur between articles, and an article's
-own lines are kept though another page repeats them. Where a page declares content, its plain lines go
-too. A page of which nothing would stay (a copy of its neighbour) keeps its plain lines.
+Differencing alone gives wrong results where an article's passage recurs on the neighbouring page, or
+where a menu or advert differs between pages. So zones are a second evidence: an article's own lines are
+kept though another page repeats them, chrome lines go though no other page has them, and where a page
+declares content its plain lines go too. A page of which nothing would stay (a copy of its neighbour)
+keeps its plain lines.
+
+Only line hashes meet in the pairs; the text moves once, compressed, to meet its page's decisions.
 """
 
 from __future__ import annotations
@@ -18,13 +22,16 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnlake.llm.scratch import Scratch, partitions
 
-CONTENT, PLAIN = 1, 0
+CONTENT, PLAIN, CHROME = 1, 0, 2
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
     re.S,
@@ -50,24 +57,24 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
 
 
-def _zone(tag: str, raw: str, zone: int | None) -> int | None:
-    """The zone inside an element, given the one around it. None: chrome."""
-    if zone is None or tag in _CHROME_TAGS:
-        return None
+def _zone(tag: str, raw: str, zone: int) -> int:
+    """The zone inside an element, given the one around it."""
+    if zone == CHROME or tag in _CHROME_TAGS:
+        return CHROME
     inside = CONTENT if tag in ("article", "main") else zone
     if tag == "header" and zone != CONTENT:
-        return None
+        return CHROME
     if raw and not raw.isspace():
         a = _attributes(raw)
         if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
-            return None
+            return CHROME
         if a.get("role", "").lower() in _CHROME_ROLES:
-            return None
+            return CHROME
         names = f"{a.get('class', '')} {a.get('id', '')}"
         if tag not in ("html", "body") and not names.isspace():
             words = set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower()))
             if (words & _CHROME_WORDS and tag != "main") or (zone != CONTENT and words & _HEADER_WORDS and inside != CONTENT):
-                return None
+                return CHROME
             if _CONTENT_IDS.search(names):
                 inside = CONTENT
         if a.get("itemprop", "").lower() == "articlebody" or a.get("role", "").lower() in ("main", "article"):
@@ -76,18 +83,17 @@ def _zone(tag: str, raw: str, zone: int | None) -> int | None:
 
 
 def page_lines(html: str) -> list[tuple[str, int]]:
-    """(text, zone) of every block with text that is not chrome, in page order; linear in the page."""
+    """(text, zone) of every block with text, in page order. Scripts, styles and the like have no text."""
     out: list[tuple[str, int]] = []
-    stack: list[tuple[str, int | None]] = []
+    stack: list[tuple[str, int]] = []
     text: list[str] = []
-    text_zone: int | None = PLAIN
-    zone: int | None = PLAIN
+    text_zone = zone = PLAIN
 
     def flush() -> None:
         if text:
             block = " ".join(entities.unescape("".join(text)).split())
             text.clear()
-            if block and text_zone is not None:
+            if block:
                 out.append((block, text_zone))
 
     def close(names: str, until: tuple[str, ...]) -> None:
@@ -103,7 +109,7 @@ def page_lines(html: str) -> list[tuple[str, int]]:
     while at < n:
         m = _TOKEN.search(html, at)
         start = m.start() if m else n
-        if start > at and zone is not None:
+        if start > at:
             text_zone = zone
             text.append(html[at:start])
         if m is None:
@@ -134,7 +140,7 @@ def page_lines(html: str) -> list[tuple[str, int]]:
                 at = end.end() if end else n
             continue
         if tag == "br" or tag == "wbr":
-            if tag == "br" and zone is not None:
+            if tag == "br":
                 text.append(" ")
             continue
         if tag in _VOID:
@@ -190,13 +196,13 @@ def common_lines(a: list[str], b: list[str], most_pairs: int = 2_000_000) -> tup
     return mine, other
 
 
-def main_text(lines: list[tuple[str, int]], neighbour: list[str] | None) -> str:
-    """The article of one page, given the lines of its nearest page (None: it has none)."""
+def main_text(lines: list[tuple[str, int]], shared: set[int]) -> str:
+    """The article of one page, given the positions of lines shared with its nearest page."""
     if any(z == CONTENT for _, z in lines):
-        return "\n\n".join(x for x, z in lines if z == CONTENT)
-    shared = common_lines([x for x, _ in lines], neighbour)[0] if neighbour else set()
-    kept = [x for k, (x, _) in enumerate(lines) if k not in shared]
-    return "\n\n".join(kept or [x for x, _ in lines])
+        kept = [x for x, z in lines if z == CONTENT]
+    else:
+        kept = [x for k, (x, z) in enumerate(lines) if z == PLAIN and k not in shared]
+    return "\n\n".join(kept or [x for x, z in lines if z == PLAIN])
 
 
 def path_order(url: Column) -> tuple[Column, Column]:
@@ -207,53 +213,78 @@ def path_order(url: Column) -> tuple[Column, Column]:
     return F.when(host == "", bare).otherwise(host), F.when(host == "", F.lit("")).otherwise(path)
 
 
-def nearest_pairs(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(page_id, url, pair): two neighbours by path within a host share a pair; a host's odd last page joins
-    the pair before it. Only keys move: a range exchange ranks them all, so a hot host spreads over tasks."""
-    keys = pages.select("page_id", "url").distinct()
+KEY = ["page_id", "url", "body"]  # body: the page's hash, so rows that share an id keep apart
+
+
+def nearest_pairs(keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """KEY, pair, rank: two neighbours by path within a host share a pair; a host's odd last page joins the
+    pair before it. Only keys move: a range exchange ranks them all, so a hot host spreads over tasks."""
     host, path = path_order(F.col("url"))
-    order = ["host", "path", "page_id", "url"]
-    keys = keys.select("page_id", "url", host.alias("host"), path.alias("path"))
-    ranged = keys.repartitionByRange(2 * partitions(pages.sparkSession), *[F.col(c).asc_nulls_first() for c in order]).withColumn("_part", F.spark_partition_id())
+    order = ["host", "path", *KEY]
+    keys = keys.withColumns({"host": host, "path": path})
+    ranged = keys.repartitionByRange(2 * partitions(keys.sparkSession), *[F.col(c).asc_nulls_first() for c in order]).withColumn("_part", F.spark_partition_id())
+    inside = Window.partitionBy("_part").orderBy(*[F.col(c).asc_nulls_first() for c in order])
     ranged = scratch.table(ranged, "ranged")
     totals = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_part").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    ranked = ranged.join(F.broadcast(bases), "_part").select("page_id", "url", "host", (F.col("_base") + F.row_number().over(inside)).alias("rank"))
+    ranked = ranged.join(F.broadcast(bases), "_part").select(*KEY, "host", (F.col("_base") + F.row_number().over(inside)).alias("rank"))
     ranked = scratch.table(ranked, "ranked")
-    hosts = ranked.groupBy("host").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
+    hosts = ranked.groupBy("host").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).hint("merge")
     step = F.least(F.col("rank") - F.col("first"), F.greatest(F.col("last") - F.col("first") - 1, F.lit(0)))
-    return ranked.join(hosts, "host").select("page_id", "url", (F.col("first") + F.lit(2) * F.floor(step / 2)).alias("pair"), "rank")
+    return ranked.join(hosts, "host").select(*KEY, (F.col("first") + F.lit(2) * F.floor(step / 2)).alias("pair"), "rank")
 
 
-PARSED = "page_id long, url string, lines array<string>, zones binary"
-TEXTS = "page_id long, url string, text string, n_chars long"
+def same_key(a: DataFrame, b: DataFrame) -> Column:
+    return a["page_id"].eqNullSafe(b["page_id"]) & a["url"].eqNullSafe(b["url"]) & (a["body"] == b["body"])
+
+
+def shared_positions(rows: pa.Table) -> pa.Table:
+    """For the few pages of one pair: positions of the lines that each shares with its nearest other page."""
+    rows = rows.sort_by([("rank", "ascending")])
+    lines = [[h[k : k + 8] for k in range(0, len(h), 8)] for h in rows["hashes"].to_pylist()]
+    found = []
+    for k, own in enumerate(lines):
+        others = sorted((i for i in range(len(lines)) if lines[i] != own), key=lambda i: (abs(i - k), i))
+        shared = sorted(common_lines(own, lines[others[0]])[0]) if others else []
+        found.append(np.array(shared, dtype="<u4").tobytes())
+    return rows.select(KEY).append_column("shared", pa.array(found, pa.binary()))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row; a null or empty page has an empty text. Repeated rows repeat."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "html")
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.xxhash64("html").alias("body"), "html")
+    names = ["page_id", "url", "body"]
+
+    def hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [b"".join(xxhash.xxh3_64_digest(x) for x, _ in page_lines(h.as_py() or "")) for h in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], [*names, "hashes"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            found = [page_lines(h.as_py() or "") for h in batch.column(3)]
+            lines = [small.compress("\n".join(f"{z}{x}" for x, z in p).encode()) for p in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lines, pa.binary())], [*names, "lines"])
+
+    def join_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = zstandard.ZstdDecompressor()
         for batch in batches:
-            found = [page_lines(x.as_py() or "") for x in batch.column(2)]
-            lines = pa.array([[x for x, _ in p] for p in found], pa.list_(pa.string()))
-            zones = pa.array([bytes(z for _, z in p) for p in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lines, zones], ["page_id", "url", "lines", "zones"])
-
-    def compare(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("rank", "ascending")])
-        lines, zones = rows["lines"].to_pylist(), rows["zones"].to_pylist()
-        texts = []
-        for k, own_lines in enumerate(lines):
-            others = sorted((i for i in range(len(lines)) if lines[i] != own_lines), key=lambda i: (abs(i - k), i))
-            texts.append(main_text(list(zip(own_lines, zones[k], strict=True)), lines[others[0]] if others else None))
-        return pa.table({"page_id": rows["page_id"], "url": rows["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
-
-    pairs = nearest_pairs(own, scratch).select(F.col("page_id").alias("_page"), F.col("url").alias("_url"), "pair", "rank")
-    parsed = own.mapInArrow(parse, PARSED)
-    joined = parsed.join(pairs, parsed["page_id"].eqNullSafe(pairs["_page"]) & parsed["url"].eqNullSafe(pairs["_url"]))
-    return joined.select("page_id", "url", "lines", "zones", "pair", "rank").groupBy("pair").applyInArrow(compare, TEXTS)
+            texts = []
+            for lines, shared in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                split = wide.decompress(lines).decode().split("\n")
+                texts.append(main_text([(x[1:], int(x[0])) for x in split if x], set(np.frombuffer(shared or b"", "<u4").tolist())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    hashed = scratch.table(own.mapInArrow(hash_lines, "page_id long, url string, body long, hashes binary"), "hashed")
+    pairs = nearest_pairs(hashed.select(*KEY), scratch).dropDuplicates(KEY).hint("merge")
+    meeting = hashed.join(pairs, same_key(hashed, pairs)).select(*[hashed[c] for c in KEY], "hashes", "pair", "rank")
+    decided = meeting.groupBy("pair").applyInArrow(shared_positions, "page_id long, url string, body long, shared binary").dropDuplicates(KEY)
+    decided = scratch.table(decided, "decided", keep=True)
+    scratch.drop()
+    parsed, decided = own.mapInArrow(parse, "page_id long, url string, body long, lines binary"), decided.hint("merge")
+    joined = parsed.join(decided, same_key(parsed, decided), "left").select(parsed["page_id"], parsed["url"], "lines", "shared")
+    return joined.mapInArrow(join_lines, "page_id long, url string, text string, n_chars long")

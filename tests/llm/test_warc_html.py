@@ -77,7 +77,7 @@ def test_zones():
     page = """<html><body class="has-sidebar"><header>Site</header><div id="cookie-notice">We use</div><article><header><h1>T</h1></header>
     <p>Hello <b>big</b>&nbsp;world<p>Second<ul><li>one<li>two</ul><form>f</form><aside>s</aside><section class="comments"><p>c</p></section>
     <script>if(a<b)"</p>"</script><!-- <p>no</p> --></article><div class="ad">buy</div><footer>x</footer>"""
-    assert html.page_lines(page) == [("T", 1), ("Hello big world", 1), ("Second", 1), ("one", 1), ("two", 1)]
+    assert [x for x in html.page_lines(page) if x[1] != html.CHROME] == [("T", 1), ("Hello big world", 1), ("Second", 1), ("one", 1), ("two", 1)]
     assert html.page_lines('a < b <i title="x>y">c</i><a href="open>d</a>') == [("a < b cd", 0)]
     assert html.page_lines("<p>" * 20000 + "x") == [("x", 0)]
 
