@@ -1,10 +1,10 @@
-"""Cached encoding of whole texts, with the ids that the tokenizers library gives.
+"""Encoding of whole texts, with the ids that the tokenizers library gives.
 
-A text is cut only where the tokenizer's pre-tokenizer always cuts; each distinct chunk is encoded once
-for each worker and a text's ids are its chunks' ids, joined. The library itself spends 6 to 10 us on
-one short chunk, so chunks of plain Latin characters go through tiktoken's merge loop over the same
-vocabulary (1 to 3 us); all others, and texts that hold a special token's opening, go through the
-library. tests/llm/test_tokens.py compares the ids with the library's on whole texts.
+The library itself reads 2 to 3 MB/s of new words on a core, so texts go through tiktoken's merge loop over
+the same vocabulary, which gives the same ids (tests/llm/test_tokens.py compares both on whole texts and
+on all of Unicode). Texts that hold a special token's opening go through the library. For word files,
+whose words end in a mark that tiktoken lacks, distinct chunks between white space are encoded once for each
+worker: those of plain Latin characters by tiktoken, all others by the library.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ def _library(path: str):
 class ByteEncoder:
     """For byte_bpe files: encode(text) gives the text's ids as little-endian uint32 bytes."""
 
-    def __init__(self, path: str, cap: int = 400_000):
+    def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
 
@@ -86,21 +86,12 @@ class ByteEncoder:
             self._to_id[rank] = ranks[token]
         self._fast = tiktoken.Encoding("byte", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merge_rank, special_tokens={})
         self._tok = _library(path)
-        self._cache = ChunkCache(self._spaced, cap)
 
     def whole(self, text: str) -> bytes:
         return little(self._tok.encode(text, add_special_tokens=False).ids)
 
-    def _spaced(self, chunk: str) -> bytes:
-        if _LATIN.fullmatch(chunk):
-            return self._to_id[self._fast.encode_ordinary(" " + chunk)].tobytes()
-        return self.whole(" " + chunk)
-
     def encode(self, text: str) -> bytes:
-        if "<|" in text:
-            return self.whole(text)
-        head, rest = split_before_words(text)
-        return (self.whole(head) if head else b"") + b"".join(map(self._cache.__getitem__, rest))
+        return self.whole(text) if "<|" in text else self._to_id[self._fast.encode_to_numpy(text)].tobytes()
 
 
 class WordEncoder:

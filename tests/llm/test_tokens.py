@@ -32,6 +32,16 @@ def test_cached_encoders_equal_the_library(kind, file):
         assert e.encode(t) == little(tok.encode(t, add_special_tokens=False).ids), repr(t)
 
 
+def test_byte_encoder_equals_the_library_on_all_of_unicode():
+    tok, e = Tokenizer.from_file(BYTE), ByteEncoder(BYTE)
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and (c < 0x32000 or c % 97 == 0)]
+    texts = [f"a{chr(c)}b 1{chr(c)} {chr(c)}x{chr(c)}{chr(c)}!" for c in points]
+    for k in range(0, len(texts), 5000):
+        some = texts[k : k + 5000]
+        for t, want in zip(some, tok.encode_batch(some, add_special_tokens=False), strict=True):
+            assert e.encode(t) == little(want.ids), repr(t)
+
+
 def test_backtracking_equals_the_library():
     tok, c = Tokenizer.from_file(BYTE), bpe.coder(BYTE)
     words = [w.encode("latin-1").decode("utf8", "replace") for w in c._whole]
