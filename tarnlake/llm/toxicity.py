@@ -35,7 +35,7 @@ class Bounds:
 
     positives: int = 3000
     unlabelled: int = 6000
-    text_bytes: int = 65_536
+    text_bytes: int = 16_384
     features: int = 512
 
 
@@ -57,28 +57,30 @@ def features_of(text: str) -> set[str]:
     return out
 
 
-def select_features(positive: list[set[str]], unlabelled: list[set[str]], count: int, share: float = 0.02) -> list[str]:
-    """Those whose shares in P and U differ most in standard errors, of those in enough texts to be no accident."""
+def select_features(positive: list[str], unlabelled: list[str], count: int, share: float = 0.02) -> list[str]:
+    """Those whose shares in P and U differ most in standard errors, of those in enough texts of P to be no
+    accident. Texts are cut into features one at a time, so only counts are held."""
     least = max(3, int(share * len(positive)))
-    p, u = Counter(), Counter()
-    for s in positive:
-        p.update(s)
-    for s in unlabelled:
-        u.update(s)
+    p: Counter = Counter()
+    for t in positive:
+        p.update(features_of(t))
+    p = Counter({f: n for f, n in p.items() if n >= least})
+    u: Counter = Counter()
+    for t in unlabelled:
+        u.update(features_of(t) & p.keys())
     n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
 
     def strength(f: str) -> float:
         a, b, all_of = p[f] / n_p, u[f] / n_u, (p[f] + u[f] + 1) / (n_p + n_u + 2)
         return abs(a - b) / (all_of * (1 - all_of) * (1 / n_p + 1 / n_u)) ** 0.5
 
-    known = [f for f in p.keys() | u.keys() if p[f] + u[f] >= least]
-    return sorted(known, key=lambda f: (-strength(f), f))[:count]
+    return sorted(p, key=lambda f: (-strength(f), f))[:count]
 
 
-def as_matrix(texts: list[set[str]], place: dict[str, int]) -> np.ndarray:
+def as_matrix(texts: list[str], place: dict[str, int]) -> np.ndarray:
     x = np.zeros((len(texts), len(place)), dtype=np.float32)
-    for i, s in enumerate(texts):
-        x[i, [place[f] for f in s if f in place]] = 1
+    for i, t in enumerate(texts):
+        x[i, [place[f] for f in features_of(t) & place.keys()]] = 1
     return x
 
 
@@ -130,11 +132,11 @@ def train(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Mode
     # the two lists hold at most positives + unlabelled ids
     chosen = toxic.withColumn("side", F.lit("p")).unionByName(drawn.withColumn("side", F.lit("u")))
     rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= bounds.text_bytes).join(F.broadcast(chosen), "doc_id").select("side", "text")
-    texts: dict[str, list[set[str]]] = {"p": [], "u": []}
+    texts: dict[str, list[str]] = {"p": [], "u": []}
     limit = {"p": bounds.positives, "u": bounds.unlabelled}
     for r in rows.orderBy("side", F.xxhash64("text"), "text").limit(bounds.positives + bounds.unlabelled).toArrow().to_pylist():
         if len(texts[r["side"]]) < limit[r["side"]]:
-            texts[r["side"]].append(features_of(r["text"]))
+            texts[r["side"]].append(r["text"])
     if not texts["p"] or not texts["u"]:
         return Model(float(np.log(prior / (1 - prior))))
     names = select_features(texts["p"], texts["u"], bounds.features)
