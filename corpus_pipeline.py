@@ -1,10 +1,15 @@
-"""The corpus pipeline: STAGES in order, each reading what its predecessor kept."""
+"""The corpus pipeline: STAGES in order, each reading what its predecessor kept.
+
+quality rules (documents that a rule rejects go), toxicity (toxic documents go), near-dedup (one document
+of each class stays), packing (the kept documents' pieces in windows).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import quality
+from tarnlake.llm import neardup, packing, quality, toxicity
+from tarnlake.llm.queries import table, tokenizer_file
 from tarnlake.llm.scratch import Scratch
 
 
@@ -12,17 +17,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_documents(docs)
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one_of_each(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
+
+
 STAGES = [
     ("quality rules", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near-dedup", near_dedup_stage),
+    ("packing", packing_stage),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's result is written as Parquet and read again by the next."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.table(stage(spark, docs, sf_dir), f"stage{k}", keep=True)
     return docs
 
 
-ORACLE_SQL = None  # packing and the trained stages have no SQL form
+ORACLE_SQL = None  # trained scores, sampled signatures and packing have no SQL form
