@@ -73,12 +73,12 @@ QUERIES = {
 
 _TOPK = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
     FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
     SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-           CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+           CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
     FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
 ), r AS (
     SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
@@ -91,7 +91,7 @@ WITH w AS (
     SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), p AS (
     SELECT doc_id, t, w, len(w) AS n,
-           list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+           list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
     FROM w
 ), g AS (
     SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, n - 1)) AS i FROM p WHERE n >= 3)
@@ -101,12 +101,12 @@ WITH w AS (
     SELECT doc_id, count(DISTINCT i + o) AS rep FROM d, (SELECT unnest([0, 1, 2]) AS o) GROUP BY doc_id
 ), s AS (
     SELECT doc_id, CAST(n AS BIGINT) AS n_words,
-           CAST(coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS BIGINT) AS word_chars,
+           CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
            CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
            CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
            CAST(coalesce(rep, 0) AS BIGINT) AS n_repeat_words,
            len(lines) AS n_lines,
-           len(list_filter(w, x -> regexp_matches(x, '\p{L}'))) AS letter_words
+           len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) AS letter_words
     FROM p LEFT JOIN c USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
