@@ -117,4 +117,44 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM s
 """.replace("\\\\", "\\")
 
-ORACLES = {"op4_topk": _TOPK, "op7_quality_rules": _QUALITY}
+# crc32 by its definition: a table of 256 remainders of the reversed polynomial, one step for each byte
+_SHARDS = """
+WITH tab AS (
+    SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t
+), raw AS (
+    SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, hex(coalesce(text, '')) AS h FROM documents
+), b AS (
+    SELECT doc_id, size, list_transform(range(len(h) // 2), lambda i: CAST('0x' || substring(h, 2 * i + 1, 2) AS BIGINT)) AS bytes FROM raw
+), s AS (
+    SELECT doc_id, size, CAST(xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS BIGINT) AS text_crc32,
+           sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total
+    FROM b, tab
+), p AS (SELECT *, CAST((2 * upto - size) * 24 // (2 * total) AS INTEGER) AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM p
+"""
+
+_WARC = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+# by the pages' own template: the article's paragraphs and heading
+_HTML = r"""
+WITH a AS (
+    SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS body FROM pages
+), b AS (
+    SELECT page_id, url, string_split_regex(body, '</?(?:p|h1)>') AS parts FROM a
+), c AS (
+    SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(
+        replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+            '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks FROM b
+), d AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""
+
+ORACLES = {"op2_sharding": _SHARDS, "op4_topk": _TOPK, "op5_warc": _WARC, "op7_quality_rules": _QUALITY, "op10_html_extraction": _HTML}
