@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,21 @@ def _delete(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of that size while the block runs: whole texts and shingle sets make rows of any width,
+    and an executor holds a few batches for each task beside its heap."""
+    was = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_BYTES) if was is None else spark.conf.set(BATCH_BYTES, was)
+
+
 class Scratch:
     """One operator call's tables. ``drop`` frees those that the result no longer reads."""
 
@@ -43,7 +60,8 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         """Write and reread: cuts the lineage, and later readers see one fixed set of rows."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         if not keep:
             self._held.append(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
