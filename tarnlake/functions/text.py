@@ -103,3 +103,11 @@ def host_allowed(url: Column, hosts: tuple[str, ...]) -> Column:
     for h in hosts:
         out = out | (host == h) | host.endswith("." + h)
     return out
+
+
+def fill_template(template: str, **values: Column) -> Column:
+    """The template with each {name} replaced by the column of that name; null is empty."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,21 @@ def last_values(df: DataFrame, session: str, order: str, keys: list[str]) -> Dat
 def newest_first(df: DataFrame, without: int | None = None) -> DataFrame:
     rows = df if without is None else df.filter(F.col("conv_id") != without)
     return rows.orderBy(F.desc("created_at"), F.desc("conv_id"))
+
+
+def by_id(df: DataFrame, conv_id: int) -> DataFrame:
+    return df.filter(F.col("conv_id") == conv_id)
+
+
+SAVED = "array<struct<id:string,sessionId:string,title:string,createdAt:bigint,updatedAt:bigint,messages:array<struct<id:string,role:string,content:string,timestamp:bigint>>>>"
+
+
+def parse_saved(text: Column) -> Column:
+    """Conversations saved as a JSON list; anything else is an empty list. Times are epoch milliseconds."""
+    return F.coalesce(F.from_json(text, SAVED), F.array().cast(SAVED))
+
+
+def to_saved(nested: DataFrame) -> DataFrame:
+    """conv_id and saved: one conversation of ``nest`` as JSON."""
+    messages = F.transform("messages", lambda m: F.struct(m["turn"].cast("string").alias("id"), m["role"].alias("role"), m["text"].alias("content")))
+    return nested.select("conv_id", F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), "title", messages.alias("messages"))).alias("saved"))

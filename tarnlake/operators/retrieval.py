@@ -133,3 +133,27 @@ def web_results(pages: DataFrame, hosts: tuple[str, ...], most: int = 5) -> Data
     cols = [first_filled(F.col(c)).alias(c) if c in pages.columns else F.lit("").alias(c) for c in ("title", "content")]
     score = F.coalesce("score", F.lit(0.0)) if "score" in pages.columns else F.lit(0.0)
     return rows.select("url", *cols, score.alias("score")).orderBy(F.desc("score"), "url").limit(most)
+
+
+def message_sources(df: DataFrame, excerpt: int = 160) -> DataFrame:
+    """conv_id, id (from 1), source, chunk_index, excerpt: what a conversation's answers rest on.
+
+    df: conv_id, turn, role, text, sources (array<struct<source_reference,chunk_index,excerpt>>, null or empty if
+    none). The latest assistant message with sources gives them, however far back; without one, the documents
+    of all tool messages in order do, where a tool text that is no JSON and longer than 50 characters counts
+    as one general source.
+    """
+    given = df.filter((F.col("role") == "assistant") & (F.size(F.coalesce("sources", F.array().cast(df.schema["sources"].dataType))) > 0))
+    last = given.groupBy("conv_id").agg(F.max_by("sources", "turn").alias("s"))
+    own = last.select("conv_id", F.posexplode("s").alias("at", "d")).select("conv_id", F.lit(0).cast("long").alias("turn"), "at", "d.source_reference", "d.chunk_index", "d.excerpt")
+    v = F.try_parse_json("text")
+    docs = F.try_variant_get(v, "$.documents", "array<variant>")
+    tools = df.filter(F.col("role") == "tool").join(last.select("conv_id"), "conv_id", "left_anti")
+    field = lambda name, kind="string": F.try_variant_get("d", f"$.{name}", kind)
+    parsed = tools.select("conv_id", "turn", F.posexplode(docs).alias("at", "d")).select(
+        "conv_id", "turn", "at", field("source_reference").alias("source_reference"), field("chunk_index", "int").alias("chunk_index"), py_strip(F.substring(F.coalesce(field("content"), F.lit("")), 1, excerpt)).alias("excerpt")
+    )
+    general = tools.filter(v.isNull() & (F.length("text") > 50)).select("conv_id", "turn", F.lit(0).alias("at"), F.lit("Medical Knowledge Base").alias("source_reference"), F.lit(None).cast("int").alias("chunk_index"), F.lit("").alias("excerpt"))
+    rows = own.unionByName(parsed).unionByName(general)
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "at"))
+    return rows.select("conv_id", number.alias("id"), F.coalesce(F.nullif("source_reference", F.lit("")), F.lit(UNKNOWN)).alias("source"), "chunk_index", F.nullif("excerpt", F.lit("")).alias("excerpt"))
