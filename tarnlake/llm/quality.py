@@ -29,10 +29,17 @@ def lines_with_words(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
 
 
+def once(value: Column) -> Column:
+    """The value, computed once for each row: the optimizer moves neither filters nor projections through a
+    generator, so an expensive column is not repeated in each place that names it."""
+    return F.explode(F.array(value))
+
+
 def with_parts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds _text (null: empty), _w (words) and _lines (lines that hold a word)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.withColumn("_text", text).withColumns({"_w": words_of(F.col("_text")), "_lines": lines_with_words(F.col("_text"))})
+    df = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    parts = F.struct(words_of(F.col("_text")).alias("_w"), lines_with_words(F.col("_text")).alias("_lines"))
+    return df.withColumn("_parts", once(parts)).withColumns({"_w": F.col("_parts._w"), "_lines": F.col("_parts._lines")}).drop("_parts")
 
 
 def with_windows(df: DataFrame) -> DataFrame:
@@ -40,7 +47,7 @@ def with_windows(df: DataFrame) -> DataFrame:
     last = F.size("_w") - 3
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     gram = lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))
-    return df.withColumn("_grams", F.transform(starts, gram))
+    return df.withColumn("_grams", once(F.transform(starts, gram)))
 
 
 def word_chars() -> Column:
