@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tarnlake.llm.scratch import bound_batches
 from tarnlake.llm.tokens import ChunkCache, byte_alphabet, little, split_before_words
 
 _NEVER = 1 << 60
@@ -198,4 +199,5 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
                 text_sha.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bound_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(code, SCHEMA)

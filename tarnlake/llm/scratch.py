@@ -8,10 +8,9 @@ Tables are written through Spark's commit protocol, so a lost executor costs its
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,22 +33,22 @@ def _delete(spark: SparkSession, uri: str) -> None:
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-@contextmanager
-def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
-    """Arrow batches of that size while the block runs: whole texts and shingle sets make rows of any width,
-    and an executor holds a few batches for each task beside its heap."""
-    was = spark.conf.get(BATCH_BYTES, None)
-    spark.conf.set(BATCH_BYTES, size)
-    try:
-        yield
-    finally:
-        spark.conf.unset(BATCH_BYTES) if was is None else spark.conf.set(BATCH_BYTES, was)
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lower the session's Arrow batches to ``most`` bytes, and leave them so, as results run later.
+
+    Rows of whole texts and shingle sets have any width, and an executor holds a few batches for each task
+    beside its heap.
+    """
+    size = re.fullmatch(r"(\d+)([bkmg]?)b?", spark.conf.get(BATCH_BYTES, "64m").strip().lower())
+    if size is None or int(size[1]) << {"k": 10, "m": 20, "g": 30}.get(size[2], 0) > most:
+        spark.conf.set(BATCH_BYTES, f"{most}b")
 
 
 class Scratch:
     """One operator call's tables. ``drop`` frees those that the result no longer reads."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark = spark
         self.uri = f"{shared_dir(spark)}/tarnlake/{name}-{uuid.uuid4().hex[:12]}"
         self._held: list[str] = []
@@ -60,8 +59,7 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         """Write and reread: cuts the lineage, and later readers see one fixed set of rows."""
-        with small_batches(self.spark):
-            df.write.mode("overwrite").parquet(self.path(name))
+        df.write.mode("overwrite").parquet(self.path(name))
         if not keep:
             self._held.append(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.llm.scratch import bound_batches
+
 _WORD = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.3
 
@@ -179,6 +181,7 @@ def score_documents(docs: DataFrame, model: Model, column: str = "score") -> Dat
             scores = [s.score(t.as_py() or "") for t in batch.column(text_at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, column])
 
+    bound_batches(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(score, f"{schema}, `{column}` double")
 
