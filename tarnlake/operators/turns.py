@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnlake.operators.numbering import number_within
+
 KEY = ["session_id", "turn_index"]
 REQUIRED = ["session_id", "turn_index", "user_message", "assistant_message", "is_clarification", "is_final_answer", "created_at", "responded_at", "latency_ms"]
 
 
 def number_turns(df: DataFrame, session: str = "session_id", order: tuple[str, ...] = ("created_at", "id")) -> DataFrame:
-    """Adds turn_index: 1, 2, ... within a session in order of arrival."""
-    w = Window.partitionBy(session).orderBy(*[F.col(c) for c in order])
-    return df.withColumn("turn_index", F.row_number().over(w).cast("long"))
+    """Adds turn_index: 1, 2, ... within a session in order of arrival. A session may be of any size."""
+    return number_within(df, session, order, "turn_index")
 
 
 def append_turns(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from tarnlake.operators import conversations, corpus, logs, retrieval, turns
+from tarnlake.operators.numbering import number_within
 from tarnlake.sources import chunk_cache
 from tarnlake.streaming import turns as stream_turns
 
@@ -75,6 +76,19 @@ def test_turns_append_and_upsert(spark):
     assert turns.missing_after(once, batch).count() == 0 and turns.missing_after(old, batch).count() == 1
 
 
+def test_numbering_of_a_group_over_many_ranges(spark):
+    rnd = random.Random(3)
+    rows = [("hot" if rnd.random() < 0.5 else rnd.choice([None, "a", "b", "c"]), k, rnd.random()) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, id long, at double")
+    got = number_within(df, "g", ("at", "id"), "n", parts=12).collect()
+    want = {}
+    for g in {r[0] for r in rows}:
+        for n, (_, i, _) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[1])), 1):
+            want[i] = n
+    assert {r.id: r.n for r in got} == want and len(got) == len(rows)
+    assert number_within(df.limit(0), "g", ("id",), "n").count() == 0
+
+
 def test_messages(spark):
     df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", ""), (1, 2, "user", None), (2, 0, "assistant", "x")], "conv_id long, turn long, role string, text string")
     assert [tuple(r) for r in conversations.last_message(df, "user").collect()] == [(1, 0, "hi")]
