@@ -47,7 +47,13 @@ _CHROME_TAGS = frozenset("nav footer aside form dialog menu button select head f
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 # fixed values: parts of class names and ids that mark what is not the article
 _CHROME_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored sponsors promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar rail widget widgets related recommended recommendations trending share sharing social comment comments disqus replies respond footer masthead topbar toolbar skip copyright hidden".split()
+    """
+    ad ads adv advert adverts advertisement advertising advertise adbox adsense adslot banner leaderboard sponsor sponsored sponsors promo promotion
+    cookie cookies cookiebar consent gdpr notice notices notification alert alerts toast popup modal overlay paywall newsletter subscribe subscription signup login
+    nav navbar navlist navigation topnav subnav sidenav sitenav menu menus menubar mainmenu submenu breadcrumb breadcrumbs pagination pager toolbar topbar skip
+    sidebar sidebars rail widget widgets related recommended recommendations trending share sharing social
+    comment comments commentlist disqus replies reply respond feedback footer masthead copyright search searchbox hidden
+    """.split()
 )
 _HEADER_WORDS = frozenset("header head".split())
 _CONTENT_IDS = re.compile(r"(?:article|post|entry|story|main|page)[-_]?(?:body|content|text)|content[-_]?(?:body|main)|articlebody", re.I)

@@ -82,6 +82,14 @@ def test_zones():
     assert html.page_lines("<p>" * 20000 + "x") == [("x", 0)]
 
 
+def test_chrome_by_class_and_role():
+    for mark in ('class="user-comments"', 'id="commentlist"', 'class="siteNav topnav"', 'class="alert alert-info"', 'role="search"', 'class="cookieBar"', "style='display: none'", "hidden", 'aria-hidden="true"'):
+        page = f"<main><p>a</p><div {mark}><p>gone</p><div>too</div></div><p>b</p></main>"
+        assert [x for x, z in html.page_lines(page) if z != html.CHROME] == ["a", "b"], mark
+    for mark in ('class="lead"', 'class="headline"', 'class="adapter"', 'data-ad="1"', 'class="caption"'):
+        assert ("kept", 1) in html.page_lines(f"<main><div {mark}>kept</div></main>"), mark
+
+
 def test_common_lines_is_longest():
     rnd = random.Random(2)
 
