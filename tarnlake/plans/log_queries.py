@@ -157,7 +157,9 @@ def turn_upsert(spark, sf_dir):
     return turns.upsert(rows, fixed.unionByName(fixed.withColumn("session_id", F.concat(F.lit("new"), "session_id"))))
 
 
-@query("turn_append")
+@query("turn_append", with_views("rl turns", """
+SELECT session_id, turn_index, id, intent, latency_ms FROM turns
+UNION ALL SELECT session_id, turn_index + count(*) OVER (PARTITION BY session_id), id, intent, latency_ms FROM turns"""))
 def turn_append(spark, sf_dir):
     rows = _numbered(spark, sf_dir)
     new = router_logs(spark, sf_dir).withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 100 DAYS"))

@@ -55,7 +55,8 @@ def chunk_recursive(spark, sf_dir):
     return corpus.chunk_recursive(corpus.scan(raw_corpus(spark, sf_dir)))
 
 
-@query("chunk_cache_roundtrip")
+@query("chunk_cache_roundtrip", with_views("scan chunk numbered", f"""
+SELECT CAST(chunk_index AS VARCHAR) AS id, chunk_index, trim(content, {BLANK}) AS page_content, source_reference FROM numbered WHERE trim(content, {BLANK}) <> ''"""))
 def chunk_cache_roundtrip(spark, sf_dir):
     base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
     path = f"{base}/tarnlake/chunk-cache-{uuid.uuid4().hex[:12]}"
@@ -103,16 +104,21 @@ def bm25_topk(spark, sf_dir):
     return _sparse(spark, sf_dir)
 
 
-@query("rrf_fusion", with_views("scan chunk numbered", "").rstrip() + f""", {_BM25}, {_DENSE}
+_FUSED = f"""{_BM25}, {_DENSE}, fused AS (
 SELECT chunk_index, score, CAST(row_number() OVER (ORDER BY score DESC, list, chunk_index) AS INTEGER) AS rank FROM (
     SELECT chunk_index, round(sum(0.5 / (60 + rank)), 6) AS score, min(list) AS list FROM (
-        SELECT vec_id AS chunk_index, rank, 0 AS list FROM dense UNION ALL SELECT chunk_index, rank, 1 FROM sparse) GROUP BY chunk_index)""")
+        SELECT vec_id AS chunk_index, rank, 0 AS list FROM dense UNION ALL SELECT chunk_index, rank, 1 FROM sparse) GROUP BY chunk_index))"""
+
+
+@query("rrf_fusion", with_views("scan chunk numbered", "").rstrip() + f", {_FUSED} SELECT chunk_index, score, rank FROM fused")
 def rrf_fusion(spark, sf_dir):
     dense = _dense(spark, sf_dir).withColumnRenamed("vec_id", "chunk_index")
     return retrieval.fuse(dense, _sparse(spark, sf_dir), key="chunk_index")
 
 
-@query("retrieve_json")
+@query("retrieve_json", with_views("scan chunk numbered", "").rstrip() + f""", {_FUSED}
+SELECT '{{"documents":[' || string_agg('{{"content":' || to_json(content) || ',"source_reference":' || to_json(source_reference) || ',"chunk_index":' || chunk_index || '}}', ',' ORDER BY rank) || ']}}' AS payload
+FROM fused JOIN numbered USING (chunk_index)""")
 def retrieve_json(spark, sf_dir):
     dense = _dense(spark, sf_dir).withColumnRenamed("vec_id", "chunk_index")
     top = retrieval.fuse(dense, _sparse(spark, sf_dir), key="chunk_index")

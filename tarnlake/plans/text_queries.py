@@ -154,13 +154,22 @@ def _model_output(k):
     return F.when(k % 5 == 0, F.concat(F.lit("<think>{no}</think> "), whole)).when(k % 5 == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(k % 5 == 2, "nothing here").otherwise(whole)
 
 
-@query("router_json_repair")
+_NAME_SQL = "CASE k % 8 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_NAMES)) + " END"
+_WORDS_SQL = """CASE k % 3 WHEN 0 THEN '"solo"' WHEN 1 THEN '["a", " b ", ""]' ELSE 'null' END"""
+_JSON_SQL = f"""'{{"language": " L' || k % 7 || ' ", "intent": "' || {_NAME_SQL} || '", "keywords": ' || {_WORDS_SQL} || ', "english_translation_or_summary": "s' || k || '", "why": 1}}'"""
+_ERROR_SQL = "'Expecting value: line 1 column 1 (char 0)'"
+
+
+@query("router_json_repair", with_views("rl", f"SELECT id AS event_id, CASE WHEN k % 5 <> 2 THEN {_JSON_SQL} END AS object, CASE WHEN k % 5 = 2 THEN {_ERROR_SQL} END AS object_error FROM rl"))
 def router_json_repair(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", _model_output(F.col("k")).alias("raw"))
     return router.repair_json(rows, "raw").select("event_id", "object", "object_error")
 
 
-@query("router_parse")
+@query("router_parse", with_views("rl", f"""
+SELECT id AS event_id, CASE WHEN k % 5 = 2 OR k % 8 = 6 THEN 'Unclear' ELSE {_CANON_SQL} END AS intent,
+       CASE WHEN k % 5 = 2 THEN '' WHEN k % 3 = 0 THEN 'solo' WHEN k % 3 = 1 THEN 'a|b' ELSE '' END AS keywords,
+       CASE WHEN k % 5 = 2 THEN 'invalid_json: ' || {_ERROR_SQL} WHEN k % 8 = 6 THEN 'unsupported_intent' END AS error FROM rl"""))
 def router_parse(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", _model_output(F.col("k")).alias("raw"))
     parsed = router.parse_output(rows, "raw")
