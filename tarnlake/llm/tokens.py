@@ -116,9 +116,9 @@ class WordEncoder:
         rank: dict[bytes, int] = {}
         for k, t in enumerate(joined):
             rank.setdefault(t, k)  # the file may merge the mark's own bytes too, which Latin chunks don't hold
-        self._to_id = np.zeros(len(joined), dtype="<u4")
+        self._id_bytes = [b""] * len(joined)
         for token, i in model["vocab"].items():
-            self._to_id[rank[raw(token)]] = i
+            self._id_bytes[rank[raw(token)]] = little([i])
         self._fast = tiktoken.Encoding("word", pat_str=rf"[^{MARK}]*{MARK}", mergeable_ranks=rank, special_tokens={})
         self._pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # the file's own pattern
         self._tok = _library(path)
@@ -130,9 +130,16 @@ class WordEncoder:
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
-        if _LATIN.fullmatch(chunk):
-            return self._to_id[self._fast.encode_ordinary(MARK.join(self._pieces.findall(chunk.lower())) + MARK)].tobytes()
-        return self.whole(chunk)
+        if not _LATIN.fullmatch(chunk):
+            return self.whole(chunk)
+        low = chunk.lower()
+        if low.isalpha():  # the two commonest shapes need no pattern: a word, and one with a sign behind it
+            marked = low + MARK
+        elif low[:-1].isalpha():
+            marked = low[:-1] + MARK + low[-1] + MARK
+        else:
+            marked = MARK.join(self._pieces.findall(low)) + MARK
+        return b"".join(map(self._id_bytes.__getitem__, self._fast.encode_ordinary(marked)))
 
     def encode(self, text: str) -> bytes:
         if "<|" in text:
