@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Mode
 
 
 class Scorer:
-    def __init__(self, model: Model, cap: int = 400_000):
+    def __init__(self, model: Model, cap: int = 100_000):
         self._w, self._bias, self._cap = model.weights, model.bias, cap
         self._known: dict[str, tuple[str, ...]] = {}
 
