@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tarnlake.functions.lexicon import INJECTION_PATTERNS, INJECTION_TOKENS, MESSAGES
 
-SPACE = r"[\s\x1c-\x1f]"  # with (?U): the white space that Python's str.strip and str.split know
+SPACE = r"[\s\x1c-\x1f]"  # with (?U): the white space that Python's str.split knows
+# the same characters one by one, for trimming without a pattern
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def filled(c: Column) -> Column:
@@ -39,13 +48,13 @@ def detect_language(c: Column) -> Column:
 def injection_type(c: Column) -> Column:
     """The first sign of prompt injection, else an empty string. Literal tokens come before patterns."""
     low = F.lower(c)
-    out = F.when(_any_of(low, [t.lower() for t in INJECTION_TOKENS]), "dangerous_token")
+    out = F.when(any_of(low, [t.lower() for t in INJECTION_TOKENS]), "dangerous_token")
     for name, pattern in INJECTION_PATTERNS:
         out = out.when(c.rlike("(?iud)" + pattern), name)
     return out.otherwise("")
 
 
-def _any_of(c: Column, terms: list[str]) -> Column:
+def any_of(c: Column, terms: Iterable[str]) -> Column:
     hit = F.lit(False)
     for t in terms:
         hit = hit | c.contains(t)
@@ -54,7 +63,7 @@ def _any_of(c: Column, terms: list[str]) -> Column:
 
 def contains_any(c: Column, terms: tuple[str, ...]) -> Column:
     """Plain substrings of the lower-cased text: no word borders."""
-    return _any_of(F.lower(F.coalesce(c, F.lit(""))), list(terms))
+    return bind(F.lower(F.coalesce(c, F.lit(""))), lambda t: any_of(t, terms))
 
 
 def sanitize(c: Column, max_length: int = 2000, check_injection: bool = True) -> Column:

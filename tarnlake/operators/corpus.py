@@ -37,13 +37,17 @@ def chunk_fixed(docs: DataFrame, size: int = 200, overlap: int = 50) -> DataFram
     step = size - overlap
     n = F.length("page_content")
     last = F.greatest(F.lit(0), F.ceil((n - overlap) / step).cast("int") - 1)
-    at = docs.select("doc_id", "source_reference", "page_content", F.explode(F.sequence(F.lit(0), last)).alias("part"))
-    return at.select("doc_id", "source_reference", "part", F.expr(f"substring(page_content, part * {step} + 1, {size})").alias("content")).filter("content != ''")
+    # cut inside the row: an explode of positions would copy the whole text to each of its chunks
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda k: F.substr(F.col("page_content"), k * step + 1, F.lit(size)))
+    return docs.select("doc_id", "source_reference", F.posexplode(pieces).alias("part", "content")).filter("content != ''")
 
 
-def number_chunks(chunks: DataFrame, parts: int | None = None) -> DataFrame:
+def number_chunks(chunks: DataFrame, parts: int | None = None, whole: bool = False) -> DataFrame:
     """Adds chunk_index: 0, 1, ... over all chunks in order of (numeric doc_id, part).
 
+    ``whole``: each document has its parts 0, 1, ... without a gap, as the splitters give them; its chunks then
+    need not be sorted again.
+
     Prefix sums over ranges: counts of ranges of ids enter one running sum, a window numbers each range.
     """
     n = parts or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -53,7 +57,7 @@ def number_chunks(chunks: DataFrame, parts: int | None = None) -> DataFrame:
     bases = totals.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     within = Window.partitionBy("_range").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(F.broadcast(bases), "_range").select("_id", (F.col("_before") + F.col("_base")).alias("_first"))
-    local = F.row_number().over(Window.partitionBy("_id").orderBy("part")) - 1
+    local = F.col("part") if whole else F.row_number().over(Window.partitionBy("_id").orderBy("part")) - 1
     return by_doc.withColumn("_local", local).join(firsts, "_id").withColumn("chunk_index", F.col("_first") + F.col("_local")).drop("_id", "_local", "_first")
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlake.functions.text import first_filled, normalize, py_strip
+from tarnlake.functions.text import bind, first_filled, normalize, py_strip
 
 UNKNOWN = "Unknown Source"
 
@@ -39,8 +39,9 @@ def bm25_topk(docs: DataFrame, query: str, k: int = 10, key: str = "chunk_id", t
     """
     terms = list(dict.fromkeys(query.split()))
     tokens = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda t: t != "")
-    occurrences = lambda term: F.size(F.filter("_t", lambda t: t == term))
-    rows = docs.select(key, tokens.alias("_t")).select(key, F.size("_t").alias("_len"), *[occurrences(x).alias(f"_tf{i}") for i, x in enumerate(terms)])
+    counted = bind(tokens, lambda t: F.struct(F.size(t).alias("n"), F.filter(t, lambda w: w.isin(*terms)).alias("hits")))
+    occurrences = lambda term: F.size(F.filter("_c.hits", lambda t: t == term))
+    rows = docs.select(key, counted.alias("_c")).select(key, F.col("_c.n").alias("_len"), *[occurrences(x).alias(f"_tf{i}") for i, x in enumerate(terms)])
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i in range(len(terms)):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.functions.lexicon import INTENT_ALIASES, INTENTS, Lexicon
-from tarnlake.functions.text import contains_any, filled, py_strip, strip_json_fence
+from tarnlake.functions.text import any_of, bind, contains_any, filled, py_strip, strip_json_fence
 
 PAYLOAD = "language string, intent string, keywords array<string>, english_translation_or_summary string"
 NO_WORDS = "array<string>"
@@ -23,25 +23,31 @@ def hits(text: Column, terms: tuple[str, ...]) -> Column:
 
 def keyword_candidates(text: Column, terms: tuple[str, ...], stop_words: tuple[str, ...] = Lexicon.stop_words, most: int = 8) -> Column:
     """Matched terms, then the text's words of four letters or more without stop words; each once."""
-    words = F.filter(F.regexp_extract_all(text, F.lit("([A-Za-z][A-Za-z-]{3,})"), F.lit(1)), lambda w: ~w.isin(*stop_words) if stop_words else F.lit(True))
-    return F.slice(F.array_distinct(F.concat(hits(text, terms), words)), 1, most)
+
+    def found(t: Column) -> Column:
+        words = F.regexp_extract_all(t, F.lit("([A-Za-z][A-Za-z-]{3,})"), F.lit(1))
+        words = F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
+        return F.slice(F.array_distinct(F.concat(hits(t, terms), words)), 1, most)
+
+    return bind(text, found)
 
 
 def fallback(message: Column, lexicon: Lexicon = Lexicon()) -> Column:  # noqa: B008
     """Struct(intent, keywords) of the rules in order: blank, social phrase, emergency, first intent with a term."""
     none = F.array().cast(NO_WORDS)
-    text = F.lower(py_strip(F.coalesce(message, F.lit(""))))
-    urgent = hits(text, lexicon.emergency)
 
     def found(intent: str, keywords: Column) -> Column:
         return F.struct(F.lit(intent).alias("intent"), keywords.alias("keywords"))
 
-    out = F.when(text == "", found("Unclear", none))
-    out = out.when(text.isin(*lexicon.social), found("Non_Medical", F.array(text)))
-    out = out.when(F.size(urgent) > 0, found("Emergency_Triage", F.slice(urgent, 1, 8)))
-    for intent, terms in lexicon.intents:
-        out = out.when(contains_any(text, terms), found(intent, keyword_candidates(text, terms, lexicon.stop_words)))
-    return out.otherwise(found("Unclear", none))
+    def rules(t: Column) -> Column:
+        out = F.when(t == "", found("Unclear", none))
+        out = out.when(t.isin(*lexicon.social), found("Non_Medical", F.array(t)))
+        out = out.when(any_of(t, lexicon.emergency), found("Emergency_Triage", F.slice(hits(t, lexicon.emergency), 1, 8)))
+        for intent, terms in lexicon.intents:
+            out = out.when(any_of(t, terms), found(intent, keyword_candidates(t, terms, lexicon.stop_words)))
+        return out.otherwise(found("Unclear", none))
+
+    return bind(F.lower(py_strip(F.coalesce(message, F.lit("")))), rules)
 
 
 def canonical_intent(c: Column) -> Column:

@@ -32,7 +32,7 @@ def chunk_fixed(spark, sf_dir):
 
 
 def numbered(spark, sf_dir):
-    return corpus.number_chunks(chunks(spark, sf_dir))
+    return corpus.number_chunks(chunks(spark, sf_dir), whole=True)
 
 
 @query("chunk_index", with_views("scan chunk numbered", "SELECT doc_id, part, chunk_index FROM numbered"))

@@ -117,6 +117,8 @@ def test_fixed_chunks_and_numbers(spark):
     got = corpus.number_chunks(corpus.chunk_fixed(docs), parts=3).orderBy("chunk_index").collect()
     assert [(r.doc_id, r.part, len(r.content)) for r in got] == [("2", 0, 200), ("2", 1, 200), ("3", 0, 200), ("3", 1, 200), ("3", 2, 51), ("9", 0, 1), ("10", 0, 200), ("10", 1, 51)]
     assert [r.chunk_index for r in got] == list(range(8))
+    again = corpus.number_chunks(corpus.chunk_fixed(docs), parts=3, whole=True).orderBy("chunk_index").collect()
+    assert [(r.doc_id, r.part, r.chunk_index) for r in again] == [(r.doc_id, r.part, r.chunk_index) for r in got]
 
 
 def test_chunk_cache(spark, tmp_path):
