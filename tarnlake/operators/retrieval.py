@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarnlake.functions.text import bind, first_filled, normalize, py_strip
 
 UNKNOWN = "Unknown Source"
+VARIANT_SURE = 16 << 20  # bytes of JSON; any shorter text that gives no variant is malformed
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -74,26 +75,32 @@ def tool_kind(raw: Column) -> Column:
     )
 
 
-def context_items(df: DataFrame, key: str, raw: str, most: int = 5) -> DataFrame:
+def context_items(df: DataFrame, key: str, raw: str, most: int = 5, at: str | None = None) -> DataFrame:
     """key, ordinal, content, source_reference, chunk_index, title, url: items of a tool's JSON in order, blank
-    ones dropped, repeats (same source, number and normalized content) dropped, first ``most`` kept."""
+    ones dropped, repeats (same source, number and normalized content) dropped, first ``most`` kept.
+
+    A key's items may be spread over rows, whose order ``at`` gives: no value then holds more than a row's items.
+    Repeats meet in an aggregate by digest, and each task hands on ``most`` rows of a key at most. JSON that is
+    well formed but larger than a variant may be is an error, as it would else count as malformed.
+    """
     v = F.try_parse_json(F.col(raw))
+    too_large = (F.octet_length(raw) > VARIANT_SURE) & F.get_json_object(raw, "$").isNotNull()
+    v = F.coalesce(v, F.when(too_large, F.raise_error(F.lit("a tool's JSON is larger than a variant may be: give its items in several rows"))).cast("variant"))
     listed = F.coalesce(F.try_variant_get(v, "$.documents", "array<variant>"), F.try_variant_get(v, "$.web_results", "array<variant>"))
-    rows = df.select(key, F.posexplode(listed).alias("_pos", "_v")).filter(F.schema_of_variant("_v").startswith("OBJECT"))
+    place = F.lit(0) if at is None else F.col(at)
+    rows = df.select(key, place.alias("_at"), F.posexplode(listed).alias("_pos", "_v")).filter(F.schema_of_variant("_v").startswith("OBJECT"))
     field = lambda name, kind="string": F.try_variant_get("_v", f"$.{name}", kind)
     rows = rows.withColumn("_content", py_strip(F.coalesce(field("content"), F.lit("")))).filter("_content != ''")
     items = rows.select(
         key,
-        "_pos",
-        F.col("_content").alias("content"),
         F.coalesce(*[F.nullif(field(c), F.lit("")) for c in ("source_reference", "source", "url")], F.lit(UNKNOWN)).alias("source_reference"),
         field("chunk_index", "int").alias("chunk_index"),
-        F.coalesce(field("title"), F.lit("")).alias("title"),
-        F.coalesce(field("url"), F.lit("")).alias("url"),
+        F.sha2(normalize(F.col("_content")), 256).alias("_same"),
+        F.struct("_at", "_pos", F.col("_content").alias("content"), F.coalesce(field("title"), F.lit("")).alias("title"), F.coalesce(field("url"), F.lit("")).alias("url")).alias("_item"),
     )
-    same = Window.partitionBy(key, "source_reference", "chunk_index", F.xxhash64(normalize(F.col("content"))), normalize(F.col("content"))).orderBy("_pos")
-    once = items.withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_n")
-    return once.withColumn("ordinal", F.row_number().over(Window.partitionBy(key).orderBy("_pos"))).filter(F.col("ordinal") <= most).drop("_pos")
+    once = items.groupBy(key, "source_reference", "chunk_index", "_same").agg(F.min("_item").alias("_item"))
+    numbered = once.withColumn("ordinal", F.row_number().over(Window.partitionBy(key).orderBy("_item"))).filter(F.col("ordinal") <= most)
+    return numbered.select(key, F.col("_item.content").alias("content"), "source_reference", "chunk_index", F.col("_item.title").alias("title"), F.col("_item.url").alias("url"), "ordinal")
 
 
 def citations(items: DataFrame, key: str, excerpt: int = 200) -> DataFrame:

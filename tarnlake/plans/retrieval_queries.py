@@ -126,7 +126,7 @@ def retrieve_json(spark, sf_dir):
 
 
 def _items(spark, sf_dir):
-    return retrieval.context_items(tool_outputs(spark, sf_dir), "key", "raw")
+    return retrieval.context_items(tool_outputs(spark, sf_dir), "key", "raw", at="at")
 
 
 @query("context_items", with_views("ctx", "SELECT key, ordinal, content, source_reference, chunk_index, title, url FROM items"))

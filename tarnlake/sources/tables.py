@@ -49,7 +49,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tool_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key (the documents' source) and raw: a retrieval tool's JSON over its documents in order of id."""
+    """key (the documents' source), at (the id, which gives the order) and raw: a retrieval tool's JSON of one document."""
     doc = F.col("doc_id")
     item = F.struct(
         F.col("text").alias("content"),
@@ -58,6 +58,5 @@ def tool_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_chars") % 3).cast("int").alias("chunk_index"),
         F.when(doc % 2 == 0, F.concat(F.lit("T"), "source")).alias("title"),
     )
-    listed = F.sort_array(F.collect_list(F.struct("doc_id", item.alias("d"))))
-    payload = F.to_json(F.struct(F.transform(listed, lambda x: x["d"]).alias("documents")))
-    return read(spark, sf_dir, "documents").groupBy(F.col("source").alias("key")).agg(payload.alias("raw"))
+    payload = F.to_json(F.struct(F.array(item).alias("documents")))
+    return read(spark, sf_dir, "documents").select(F.col("source").alias("key"), doc.alias("at"), payload.alias("raw"))

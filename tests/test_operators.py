@@ -151,6 +151,26 @@ def test_context_items(spark):
     assert [f"[{c.id}] Source: {c.source}" for c in cites] == [b.split("\n")[0] for b in blocks]
 
 
+def test_context_items_of_a_large_source(spark, tmp_path):
+    """A source of 150 MB of texts, more than one variant may hold, has all its items."""
+    from pyspark.sql import functions as F
+
+    from tarnlake.plans.retrieval_queries import context_items
+
+    text = F.concat(F.lit("d"), (F.col("id") / 2).cast("int").cast("string"), F.repeat(F.lit(" word"), 1_000_000))
+    docs = spark.range(30, numPartitions=10).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("big").alias("source"), F.lit(3).cast("long").alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = context_items(spark, str(tmp_path)).select("key", "ordinal", F.substring("content", 1, 3).alias("c"), "source_reference").orderBy("ordinal").collect()
+    # ids 0 and 1 have the same text, but not the same source_reference
+    assert [tuple(r) for r in got] == [("big", 1, "d0 ", "https://x.example/big"), ("big", 2, "d0 ", "big"), ("big", 3, "d1 ", "big"), ("big", 4, "d2 ", "Unknown Source"), ("big", 5, "d2 ", "big")]
+
+
+def test_context_items_over_rows(spark):
+    rows = [("k", 3, json.dumps({"documents": [item("x")]})), ("k", 1, json.dumps({"documents": [item("b"), item("a")]})), ("k", 2, json.dumps({"documents": [item("A"), item("c")]})), ("k", 4, "nope")]
+    got = retrieval.context_items(spark.createDataFrame(rows, "key string, at int, raw string"), "key", "raw", at="at", most=3).orderBy("ordinal").collect()
+    assert [(r.ordinal, r.content) for r in got] == [(1, "b"), (2, "a"), (3, "c")]
+
+
 def test_fusion(spark):
     d = spark.createDataFrame([(1, 1), (2, 2)], "chunk_id long, rank int")
     s = spark.createDataFrame([(2, 1), (3, 2)], "chunk_id long, rank int")
