@@ -6,10 +6,10 @@ are sorted by URL path and paired with their neighbour; the lines of a pair are
 subsequence and shared lines are deleted as the site's boilerplate.
 
 Differencing alone gives wrong results where an article's passage recurs on the neighbouring page, or
-where a menu or advert differs between pages. So zones are a second evidence: an article's own lines are
-kept though another page repeats them, chrome lines go though no other page has them, and where a page
-declares content its plain lines go too. A page of which nothing would stay (a copy of its neighbour)
-keeps its plain lines.
+where a menu or advert differs between pages. So zones replace it for two kinds of lines, on every page:
+content lines are kept though another page repeats them, and chrome lines go though no other page has them.
+All other lines, beside declared content or without any, are kept unless shared. Where a host has no
+differing page nothing is shared, and all plain lines stay.
 
 Only line hashes meet in the pairs; the text moves once, compressed, to meet its page's decisions.
 """
@@ -204,11 +204,7 @@ def common_lines(a: list[str], b: list[str], most_pairs: int = 2_000_000) -> tup
 
 def main_text(lines: list[tuple[str, int]], shared: set[int]) -> str:
     """The article of one page, given the positions of lines shared with its nearest page."""
-    if any(z == CONTENT for _, z in lines):
-        kept = [x for x, z in lines if z == CONTENT]
-    else:
-        kept = [x for k, (x, z) in enumerate(lines) if z == PLAIN and k not in shared]
-    return "\n\n".join(kept or [x for x, z in lines if z == PLAIN])
+    return "\n\n".join(x for k, (x, z) in enumerate(lines) if z == CONTENT or (z == PLAIN and k not in shared))
 
 
 def path_order(url: Column) -> tuple[Column, Column]:

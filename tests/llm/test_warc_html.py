@@ -73,6 +73,16 @@ def test_differencing_without_declared_content(spark):
     assert (got[8], got[9], got[10], got[11], got[12]) == ("one", "one", "", "x & y", "z\n\nz")
 
 
+def test_body_beside_a_teaser(spark):
+    """A teaser card or a class name that declares content decides its own lines only, not the plain ones."""
+    for card in ("<article><p>Read next</p></article>", '<div class="post-content">Read next</div>', "<main><p>Read next</p></main>"):
+        shell = "<div>Our site</div><nav>menu {0}</nav><div><p>Body {0} one</p><p>Body {0} two</p></div>" + card + "<p>Mail us</p>"
+        rows = [(k, f"http://h.example/{k}", shell.format(k)) for k in range(4)] + [(9, "http://alone.example/", shell.format(9))]
+        got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert [got[k] for k in range(4)] == [f"Body {k} one\n\nBody {k} two\n\nRead next" for k in range(4)]
+        assert got[9] == "Our site\n\nBody 9 one\n\nBody 9 two\n\nRead next\n\nMail us"
+
+
 def test_zones():
     page = """<html><body class="has-sidebar"><header>Site</header><div id="cookie-notice">We use</div><article><header><h1>T</h1></header>
     <p>Hello <b>big</b>&nbsp;world<p>Second<ul><li>one<li>two</ul><form>f</form><aside>s</aside><section class="comments"><p>c</p></section>
