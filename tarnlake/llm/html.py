@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -165,41 +164,80 @@ def page_lines(html: str) -> list[tuple[str, int]]:
     return out
 
 
-def common_lines(a: list[str], b: list[str], most_pairs: int = 2_000_000) -> tuple[set[int], set[int]]:
-    """Positions in a and in b of a longest common subsequence, by the longest increasing run of matches.
+def common_lines(a: list, b: list, most_bits: int = 1 << 26) -> tuple[set[int], set[int]]:
+    """Positions in a and in b of a longest common subsequence, exact at every size.
 
-    Where repeated lines would give more than ``most_pairs`` matches, the k-th occurrence in one page is
-    matched with the k-th in the other only, which keeps the work linear.
+    Row i of the table of lengths is one integer, whose bit j is unset where the length grows at b[j]. Equal ends
+    are taken off first; tables of up to ``most_bits`` bits are walked back from their last corner, larger ones cut in
+    two by a where the lengths of both halves add up to the most (Hirschberg), so memory stays bounded.
     """
-    where: dict[str, list[int]] = defaultdict(list)
+    mine: set[int] = set()
+    other: set[int] = set()
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and a[i] == b[j]:
+            mine.add(i)
+            other.add(j)
+            i, j = i + 1, j + 1
+        while i < n and j < m and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+            mine.add(n)
+            other.add(m)
+        if i == n or j == m:
+            continue
+        if n - i == 1 or (n - i) * (m - j) <= most_bits:
+            rows = list(_length_rows(a[i:n], b[j:m]))
+            width, row = (m - j + 7) // 8, None
+            while i < n and j < m:
+                if a[n - 1] == b[m - 1]:
+                    n, m, row = n - 1, m - 1, None
+                    mine.add(n)
+                    other.add(m)
+                    continue
+                row = row or rows[n - i - 1].to_bytes(width, "little")
+                if row[(m - 1 - j) >> 3] >> ((m - 1 - j) & 7) & 1:
+                    m -= 1
+                else:
+                    n, row = n - 1, None
+        else:
+            half = (i + n) // 2
+            left, right = _lengths(a[i:half], b[j:m]), _lengths(a[half:n][::-1], b[j:m][::-1])
+            cut = j + int(np.argmax(left + right[::-1]))
+            todo += [(i, half, j, cut), (half, n, cut, m)]
+    return mine, other
+
+
+def _length_rows(a: list, b: list, most_held: int = 1 << 25) -> Iterator[int]:
+    """The row after each line of a. Places of lines in b are held as integers up to ``most_held`` bytes in all."""
+    where: dict = defaultdict(list)
     for j, x in enumerate(b):
         where[x].append(j)
-    if sum(len(where[x]) for x in a if x in where) > most_pairs:
-        seen: dict[str, int] = defaultdict(int)
-        options = []
-        for x in a:
-            k = seen[x]
-            seen[x] += 1
-            options.append(where[x][k : k + 1] if x in where else [])
-    else:
-        options = [where[x][::-1] if x in where else [] for x in a]
-    ends: list[int] = []
-    links: list[tuple | None] = []
-    for i, js in enumerate(options):
-        for j in js:
-            k = bisect_left(ends, j)
-            link = (i, j, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            else:
-                ends[k], links[k] = j, link
-    mine, other, link = set(), set(), links[-1] if links else None
-    while link:
-        mine.add(link[0])
-        other.add(link[1])
-        link = link[2]
-    return mine, other
+    full, places, room = (1 << len(b)) - 1, {}, most_held // (len(b) // 8 + 64)
+    row = full
+    for x in a:
+        if x in where:
+            at = places.get(x)
+            if at is None:
+                if len(where[x]) < 8:
+                    at = sum(1 << j for j in where[x])
+                else:
+                    marks = np.zeros(len(b), dtype=np.uint8)
+                    marks[where[x]] = 1
+                    at = int.from_bytes(np.packbits(marks, bitorder="little").tobytes(), "little")
+                if len(places) < room:
+                    places[x] = at
+            hit = row & at
+            row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """The lengths of common subsequences of a with the first 0, 1, ... len(b) lines of b."""
+    for row in _length_rows(a, b):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes((len(b) + 7) // 8, "little"), dtype=np.uint8), count=len(b), bitorder="little")
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
 
 
 def main_text(lines: list[tuple[str, int]], shared: set[int]) -> str:

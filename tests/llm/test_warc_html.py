@@ -117,5 +117,36 @@ def test_common_lines_is_longest():
         assert [a[i] for i in sorted(mine)] == [b[j] for j in sorted(other)]
 
 
+def lcs_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        diagonal = 0
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_common_lines_of_long_pages():
+    """More than two million matches: own '0' cells, then a shared footer among other '0' cells."""
+    rnd = random.Random(4)
+    footer = [f"f{k}" for k in range(60)]
+    mixed = lambda n: sum(([f] + ["0"] * rnd.randint(0, n) for f in footer), [])
+    a, b = ["own"] + ["0"] * 1400 + mixed(3) + ["end"], ["menu"] + ["0"] * 1600 + mixed(5)
+    assert a.count("0") * b.count("0") > 2_000_000
+    mine, other = html.common_lines(a, b)
+    assert [a[i] for i in sorted(mine)] == [b[j] for j in sorted(other)]
+    assert len(mine) == lcs_length(a, b)
+
+
+def test_common_lines_cut_in_two():
+    rnd = random.Random(5)
+    for _ in range(200):
+        a, b = ([rnd.choice("abcde") for _ in range(rnd.randint(0, 40))] for _ in range(2))
+        for bits in (1, 50, 300):
+            mine, other = html.common_lines(a, b, bits)
+            assert len(mine) == len(other) == lcs_length(a, b)
+            assert [a[i] for i in sorted(mine)] == [b[j] for j in sorted(other)]
+
+
 def test_extract_empty(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
