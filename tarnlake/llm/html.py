@@ -2,8 +2,9 @@
 
 Each page is parsed into text blocks ("lines") with a zone: content (inside an article or main element),
 plain, or chrome (menus, headers, footers, sidebars, notices, adverts, forms, comments). Pages of one host
-are sorted by URL path and paired with their neighbour; the lines of a pair are aligned by longest common
-subsequence and shared lines are deleted as the site's boilerplate.
+with equal lines count as one, by the first of their URLs. They are sorted by URL path, each is compared
+with the closer of its two neighbours by longest common subsequence, and the lines it shares are deleted
+as the site's boilerplate; the copies take the result of the page that stands for them.
 
 Differencing alone gives wrong results where an article's passage recurs on the neighbouring page, or
 where a menu or advert differs between pages. So zones replace it for two kinds of lines, on every page:
@@ -17,6 +18,7 @@ Only line hashes meet in the pairs; the text moves once, compressed, to meet its
 from __future__ import annotations
 
 import html as entities
+import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -256,39 +258,46 @@ def path_order(url: Column) -> tuple[Column, Column]:
 KEY = ["page_id", "url", "body"]  # body: the page's hash, so rows that share an id keep apart
 
 
-def nearest_pairs(keys: DataFrame, scratch: Scratch) -> DataFrame:
-    """KEY, pair, rank: two neighbours by path within a host share a pair; a host's odd last page joins the
-    pair before it. Only keys move: a range exchange ranks them all, so a hot host spreads over tasks."""
-    host, path = path_order(F.col("url"))
-    order = ["host", "path", *KEY]
-    keys = keys.withColumns({"host": host, "path": path})
-    ranged = keys.repartitionByRange(2 * partitions(keys.sparkSession), *[F.col(c).asc_nulls_first() for c in order]).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+def nearest_pages(hashed: DataFrame, scratch: Scratch) -> DataFrame:
+    """host, digest, path, zones, hashes, before, after of one page for each (host, digest), that is for all pages of a
+    host with equal lines: the first by path. before and after are its neighbours by path (path, hashes; null: none).
+
+    A range exchange sorts the pages, so a hot host spreads over tasks; where a range ends, the neighbour comes from
+    a table of two rows for each range.
+    """
+    page = F.struct("path", *KEY, "zones", "hashes")
+    first = hashed.groupBy("host", "digest").agg(F.min(page).alias("p")).select("host", "digest", "p.*")
+    first = scratch.table(first, "first")
+    order = [F.col(c).asc_nulls_first() for c in ("host", "path", *KEY)]
+    ranged = first.repartitionByRange(2 * partitions(hashed.sparkSession), *order).withColumn("_part", F.spark_partition_id())
     ranged = scratch.table(ranged, "ranged")
-    totals = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    ranked = ranged.join(F.broadcast(bases), "_part").select(*KEY, "host", (F.col("_base") + F.row_number().over(inside)).alias("rank"))
-    ranked = scratch.table(ranked, "ranked")
-    hosts = ranked.groupBy("host").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).hint("merge")
-    step = F.least(F.col("rank") - F.col("first"), F.greatest(F.col("last") - F.col("first") - 1, F.lit(0)))
-    return ranked.join(hosts, "host").select(*KEY, (F.col("first") + F.lit(2) * F.floor(step / 2)).alias("pair"), "rank")
+    own = F.struct("host", "path", *KEY, "hashes")
+    ends = ranged.groupBy("_part").agg(F.min(own).alias("first"), F.max(own).alias("last"))  # a row for each range
+    ranges = Window.orderBy("_part")
+    ends = ends.select("_part", F.lag("last").over(ranges).alias("_last"), F.lead("first").over(ranges).alias("_first"))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    beside = ranged.withColumns({"_before": F.lag(own).over(inside), "_after": F.lead(own).over(inside)}).join(F.broadcast(ends), "_part")
+    near = lambda x: F.when(x["host"] == F.col("host"), F.struct(x["path"].alias("path"), x["hashes"].alias("hashes")))
+    return beside.select("host", "digest", "path", "zones", "hashes", near(F.coalesce("_before", "_last")).alias("before"), near(F.coalesce("_after", "_first")).alias("after"))
 
 
 def same_key(a: DataFrame, b: DataFrame) -> Column:
     return a["page_id"].eqNullSafe(b["page_id"]) & a["url"].eqNullSafe(b["url"]) & (a["body"] == b["body"])
 
 
-def shared_positions(rows: pa.Table) -> pa.Table:
-    """For the few pages of one pair: positions of the lines that each shares with its nearest other page."""
-    rows = rows.sort_by([("rank", "ascending")])
-    lines = [[h[k : k + 8] for k in range(0, len(h), 8)] for h in rows["hashes"].to_pylist()]
-    found = []
-    for k, own in enumerate(lines):
-        others = sorted((i for i in range(len(lines)) if lines[i] != own), key=lambda i: (abs(i - k), i))
-        shared = sorted(common_lines(own, lines[others[0]])[0]) if others else []
-        found.append(np.array(shared, dtype="<u4").tobytes())
-    return rows.select(KEY).append_column("shared", pa.array(found, pa.binary()))
+def shared_with_nearest(path: str, zones: bytes, hashes: bytes, before: dict | None, after: dict | None) -> set[int]:
+    """Positions of the lines that a page shares with the closer of its neighbours, which is the one with the longer
+    common beginning of the path, the one before if equal. If that would leave nothing of a page without declared
+    content, the other neighbour decides; what stands in both is boilerplate."""
+    alike = lambda x: len(os.path.commonprefix([path, x["path"]]))
+    others = sorted((x for x in (before, after) if x), key=alike, reverse=True)
+    lines = lambda h: [h[k : k + 8] for k in range(0, len(h), 8)]
+    shared: set[int] = set()
+    for x in others:
+        shared = common_lines(lines(hashes), lines(x["hashes"]))[0]
+        if any(z == CONTENT or (z == PLAIN and k not in shared) for k, z in enumerate(zones)):
+            break
+    return shared
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -300,8 +309,16 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [b"".join(xxhash.xxh3_64_digest(x) for x, _ in page_lines(h.as_py() or "")) for h in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], [*names, "hashes"])
+            pages = [page_lines(h.as_py() or "") for h in batch.column(3)]
+            zones = [bytes(z for _, z in p) for p in pages]
+            hashes = [b"".join(xxhash.xxh3_64_digest(x) for x, _ in p) for p in pages]
+            digests = [xxhash.xxh3_128_digest(h) for h in hashes]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(x, pa.binary()) for x in (digests, zones, hashes)]], [*names, "digest", "zones", "hashes"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.array(sorted(shared_with_nearest(*r.values())), dtype="<u4").tobytes() for r in batch.select(["path", "zones", "hashes", "before", "after"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["host", "digest", "shared"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = zstandard.ZstdCompressor(level=1)
@@ -319,10 +336,12 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts.append(main_text([(x[1:], int(x[0])) for x in split if x], set(np.frombuffer(shared or b"", "<u4").tolist())))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    hashed = scratch.table(own.mapInArrow(hash_lines, "page_id long, url string, body long, hashes binary"), "hashed")
-    pairs = nearest_pairs(hashed.select(*KEY), scratch).dropDuplicates(KEY).hint("merge")
-    meeting = hashed.join(pairs, same_key(hashed, pairs)).select(*[hashed[c] for c in KEY], "hashes", "pair", "rank")
-    decided = meeting.groupBy("pair").applyInArrow(shared_positions, "page_id long, url string, body long, shared binary").dropDuplicates(KEY)
+    hashed = own.mapInArrow(hash_lines, "page_id long, url string, body long, digest binary, zones binary, hashes binary")
+    host, path = path_order(F.col("url"))
+    hashed = scratch.table(hashed.withColumns({"host": host, "path": path}), "hashed")
+    shared = scratch.table(nearest_pages(hashed, scratch).mapInArrow(decide, "host string, digest binary, shared binary"), "shared")
+    # every copy takes its first page's decisions; only keys meet here, so many copies are narrow rows
+    decided = hashed.select(*KEY, "host", "digest").dropDuplicates(KEY).join(shared.hint("merge"), ["host", "digest"]).select(*KEY, "shared")
     decided = scratch.table(decided, "decided", keep=True)
     scratch.drop()
     parsed, decided = own.mapInArrow(parse, "page_id long, url string, body long, lines binary"), decided.hint("merge")

@@ -73,6 +73,23 @@ def test_differencing_without_declared_content(spark):
     assert (got[8], got[9], got[10], got[11], got[12]) == ("one", "one", "", "x & y", "z\n\nz")
 
 
+def test_copies_and_nearest_page(spark):
+    """A run of copies is compared with the page beside it, and a page with the closer of its neighbours."""
+    kind = "page_id long, url string, html string"
+    shell = "<div>Our site</div><p>{0}</p><p>Mail us</p>"
+    rows = [(k, f"http://h.example/a/{k}", shell.format("Same story")) for k in range(6)] + [(9, "http://h.example/b", shell.format("Other story"))]
+    # by path: /a/1, /b/1, /b/2, /c/1; /b/1 and /b/2 are the closest, and share a section's line
+    urls = {20: "/a/1", 21: "/b/1", 22: "/b/2", 23: "/c/1"}
+    rows += [(k, f"http://n.example{u}", f"<p>Site</p><p>Section {u[1]}</p><p>Text {k}</p>") for k, u in urls.items()]
+    # all lines of 30 stand in the closer page 31, which leaves them to the page before; all of 41 in both
+    rows += [(29, "http://s.example/a", "<p>Site</p><p>x</p>"), (30, "http://s.example/b1", "<p>Site</p><p>Body</p>"), (31, "http://s.example/b2", "<p>Site</p><p>Body</p><p>More</p>")]
+    rows += [(40, "http://t.example/a", "<p>Site</p><p>x</p>"), (41, "http://t.example/b", "<p>Site</p>"), (42, "http://t.example/c", "<p>Site</p><p>y</p>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, kind)).collect()}
+    assert [got[k] for k in range(6)] == ["Same story"] * 6 and got[9] == "Other story"
+    assert [got[k] for k in urls] == ["Section a\n\nText 20", "Text 21", "Text 22", "Section c\n\nText 23"]
+    assert (got[29], got[30], got[31], got[40], got[41], got[42]) == ("x", "Body", "More", "x", "", "y")
+
+
 def test_body_beside_a_teaser(spark):
     """A teaser card or a class name that declares content decides its own lines only, not the plain ones."""
     for card in ("<article><p>Read next</p></article>", '<div class="post-content">Read next</div>', "<main><p>Read next</p></main>"):
