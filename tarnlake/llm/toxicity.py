@@ -133,12 +133,12 @@ def train(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Mode
     drawn = ids.orderBy(F.xxhash64("doc_id", F.lit("u")), "doc_id").limit(bounds.unlabelled)
     # the two lists hold at most positives + unlabelled ids
     chosen = toxic.withColumn("side", F.lit("p")).unionByName(drawn.withColumn("side", F.lit("u")))
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= bounds.text_bytes).join(F.broadcast(chosen), "doc_id").select("side", "text")
-    texts: dict[str, list[str]] = {"p": [], "u": []}
-    limit = {"p": bounds.positives, "u": bounds.unlabelled}
-    for r in rows.orderBy("side", F.xxhash64("text"), "text").limit(bounds.positives + bounds.unlabelled).toArrow().to_pylist():
-        if len(texts[r["side"]]) < limit[r["side"]]:
-            texts[r["side"]].append(r["text"])
+    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= bounds.text_bytes).join(F.broadcast(chosen), "doc_id").select("side", "doc_id", "text")
+    texts: dict[str, list[str]] = {}
+    for side, most in (("p", bounds.positives), ("u", bounds.unlabelled)):
+        # a row counts once however often it is repeated, and each side has its own limit
+        own = rows.filter(F.col("side") == side).distinct().orderBy(F.xxhash64("text"), "text").limit(most)
+        texts[side] = own.select("text").toArrow()["text"].to_pylist()
     if not texts["p"] or not texts["u"]:
         return Model(float(np.log(prior / (1 - prior))))
     names = select_features(texts["p"], texts["u"], bounds.features)

@@ -57,6 +57,16 @@ def test_odd_rows(spark):
     assert toxicity.toxicity_report(docs.limit(0), none).count() == 0
 
 
+def test_repeated_rows_leave_room_for_unlabelled(spark):
+    """Rows that stand in the table many times neither push the unlabelled side out nor change the model."""
+    docs, labels = make(400)
+    one, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    many = spark.createDataFrame(docs * 8, one.schema)
+    bounds = toxicity.Bounds(positives=20, unlabelled=60)
+    want = toxicity.train(one, known, bounds)
+    assert want.weights and toxicity.train(many, known, bounds) == want
+
+
 def test_negative_part_is_held_at_zero():
     z = np.array([5.0, 6.0])
     assert toxicity.nonnegative_risk(z, np.array([-9.0] * 50), 0.5)[1] < 0
