@@ -1,16 +1,16 @@
-"""Main text of web pages: nearest-URL page differencing with block zones.
+"""Main text of web pages: nearest-URL page differencing, with block zones for the cases it cannot decide.
 
-Each page is parsed into text blocks ("lines") with a zone: content (inside an article or main element),
-plain, or chrome (menus, headers, footers, sidebars, notices, adverts, forms, comments). Pages of one host
-with equal lines count as one, by the first of their URLs. They are sorted by URL path, each is compared
-with the closer of its two neighbours by longest common subsequence, and the lines it shares are deleted
-as the site's boilerplate; the copies take the result of the page that stands for them.
+Each page is parsed into text blocks ("lines"). Pages of one host with equal lines count as one, by the first of
+their URLs. They are sorted by URL path, each is compared with the closer of its two neighbours by longest common
+subsequence, and the lines it shares are deleted as the site's boilerplate; the copies take the result of the page
+that stands for them. Where a host has no differing page nothing is shared.
 
-Differencing alone gives wrong results where an article's passage recurs on the neighbouring page, or
-where a menu or advert differs between pages. So zones replace it for two kinds of lines, on every page:
-content lines are kept though another page repeats them, and chrome lines go though no other page has them.
-All other lines, beside declared content or without any, are kept unless shared. Where a host has no
-differing page nothing is shared, and all plain lines stay.
+``extract(pages, zones=False)`` is that and no more. It gives wrong results where an article's passage recurs on
+the neighbouring page, and where a menu, footer or advert differs between neighbours. So by default the markup
+corrects it in two cases: shared lines inside a declared article or main element are put back, and lines that no
+other page has go if the markup declares them a menu, header, footer, sidebar, notice, advert, form or comment.
+Differencing decides all other lines: those outside declared content that no name marks, on pages with and without an
+article, and those inside an article in elements whose names merely hint (share, related, search, notice, ...).
 
 Only line hashes meet in the pairs; the text moves once, compressed, to meet its page's decisions.
 """
@@ -21,7 +21,7 @@ import html as entities
 import os
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,31 +32,47 @@ from pyspark.sql import functions as F
 
 from tarnlake.llm.scratch import Scratch, partitions
 
-CONTENT, PLAIN, CHROME = 1, 0, 2
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
-    re.S,
-)
+PLAIN, CONTENT, CHROME, HINTED = 0, 1, 2, 3
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+# quotes count only behind "="; anywhere else they are plain characters
+_REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math".split())
+_RAW = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in "script style noscript template textarea title iframe xmp noembed noframes svg annotation annotation-xml".split()}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-_CLOSES = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+_CLOSES = {  # an opening tag -> what it closes, unless one of the second list stands inside
+    "li": (("li",), ("ul", "ol", "menu", "dir")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "option": (("option",), ("select",)),
+}
+_PARAGRAPH = (("p",), ("article", "main", "body", "div", "section"))
 _CHROME_TAGS = frozenset("nav footer aside form dialog menu button select head fieldset search object audio video canvas datalist".split())
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-# fixed values: parts of class names and ids that mark what is not the article
-_CHROME_WORDS = frozenset(
+_ZONED = _CHROME_TAGS | {"article", "main", "header"}  # these matter without attributes
+# fixed values: parts of class names and ids of menus, notices, adverts and reader comments, wherever they stand
+_DECLARED = frozenset(
     """
-    ad ads adv advert adverts advertisement advertising advertise adbox adsense adslot banner leaderboard sponsor sponsored sponsors promo promotion
+    ad ads adv advert adverts advertisement advertising advertise adbox adsense adslot sponsor sponsored sponsors
     cookie cookies cookiebar consent gdpr notice notices notification alert alerts toast popup modal overlay paywall newsletter subscribe subscription signup login
     nav navbar navlist navigation topnav subnav sidenav sitenav menu menus menubar mainmenu submenu breadcrumb breadcrumbs pagination pager toolbar topbar skip
-    sidebar sidebars rail widget widgets related recommended recommendations trending share sharing social
-    comment comments commentlist disqus replies reply respond feedback footer masthead copyright search searchbox hidden
+    sidebar sidebars comment comments commentlist disqus replies footer masthead searchbox hidden
+    """.split()
+)
+# fixed values: parts that do so outside declared content only, and inside it hint at it
+_HINTS = frozenset(
+    """
+    banner leaderboard promo promotion rail widget widgets related recommended recommendations trending
+    share sharing social reply respond feedback copyright search
     """.split()
 )
 _HEADER_WORDS = frozenset("header head".split())
+_ABOUT = frozenset("has with without no not is".split())  # as in "has-sidebar": about the page, not of the element
 _CONTENT_IDS = re.compile(r"(?:article|post|entry|story|main|page)[-_]?(?:body|content|text)|content[-_]?(?:body|main)|articlebody", re.I)
 
 
@@ -64,12 +80,23 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
 
 
+def _name_words(names: str) -> set[str]:
+    """The lower-case parts of class names and ids."""
+    words: set[str] = set()
+    for name in names.split():
+        parts = re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())
+        if parts[0] not in _ABOUT:
+            words.update(parts)
+    return words
+
+
 def _zone(tag: str, raw: str, zone: int) -> int:
     """The zone inside an element, given the one around it."""
     if zone == CHROME or tag in _CHROME_TAGS:
         return CHROME
-    inside = CONTENT if tag in ("article", "main") else zone
-    if tag == "header" and zone != CONTENT:
+    declared = zone in (CONTENT, HINTED)
+    inside = CONTENT if tag in ("article", "main") and not declared else zone
+    if tag == "header" and not declared:
         return CHROME
     if raw and not raw.isspace():
         a = _attributes(raw)
@@ -79,20 +106,77 @@ def _zone(tag: str, raw: str, zone: int) -> int:
             return CHROME
         names = f"{a.get('class', '')} {a.get('id', '')}"
         if tag not in ("html", "body") and not names.isspace():
-            words = set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower()))
-            if (words & _CHROME_WORDS and tag != "main") or (zone != CONTENT and words & _HEADER_WORDS and inside != CONTENT):
+            words = _name_words(names)
+            if words & _DECLARED and tag != "main":
                 return CHROME
-            if _CONTENT_IDS.search(names):
+            if words & _HINTS and tag != "main":
+                return HINTED if declared else CHROME
+            if words & _HEADER_WORDS and not declared and inside != CONTENT:
+                return CHROME
+            if _CONTENT_IDS.search(names) and not declared:
                 inside = CONTENT
-        if a.get("itemprop", "").lower() == "articlebody" or a.get("role", "").lower() in ("main", "article"):
+        if (a.get("itemprop", "").lower() == "articlebody" or a.get("role", "").lower() in ("main", "article")) and not declared:
             inside = CONTENT
     return inside
 
 
+class _Open:
+    """The open elements. Where the last of a name stands is known without a search, so that no nesting, however deep
+    or broken, costs more than its length."""
+
+    def __init__(self) -> None:
+        self._names: list[str] = []
+        self._zones: list[int] = []
+        self._at: dict[str, list[int]] = defaultdict(list)
+        self._blocks: list[int] = []
+
+    def push(self, name: str, zone: int) -> None:
+        self._at[name].append(len(self._names))
+        if name in _BLOCKS:
+            self._blocks.append(len(self._names))
+        self._names.append(name)
+        self._zones.append(zone)
+
+    def cut(self, k: int) -> None:
+        """Close all from place k on."""
+        while len(self._names) > k:
+            name = self._names.pop()
+            self._zones.pop()
+            self._at[name].pop()
+            if name in _BLOCKS:
+                self._blocks.pop()
+
+    def last(self, names: Iterable[str]) -> int:
+        best = -1
+        for x in names:
+            places = self._at.get(x)
+            if places and places[-1] > best:
+                best = places[-1]
+        return best
+
+    def block_above(self, k: int) -> bool:
+        return bool(self._blocks) and self._blocks[-1] > k
+
+    def zone(self, below: int | None = None) -> int:
+        """Of the innermost element, or of the one around place ``below``."""
+        k = len(self._zones) if below is None else below
+        return self._zones[k - 1] if k else PLAIN
+
+    def close(self, names: Iterable[str], until: Iterable[str]) -> None:
+        """Close the last of names, unless an element of until stands inside it."""
+        k = self.last(names)
+        if k >= 0 and k > self.last(until):
+            self.cut(k)
+
+
 def page_lines(html: str) -> list[tuple[str, int]]:
-    """(text, zone) of every block with text, in page order. Scripts, styles and the like have no text."""
+    """(text, zone) of every block with text, in page order. Scripts, styles and the like have no text.
+
+    Linear in the page, hostile ones included: a tag without end is text, and behind the first tag whose quotes never
+    close, tags end at their first ">".
+    """
     out: list[tuple[str, int]] = []
-    stack: list[tuple[str, int]] = []
+    held = _Open()
     text: list[str] = []
     text_zone = zone = PLAIN
 
@@ -103,64 +187,68 @@ def page_lines(html: str) -> list[tuple[str, int]]:
             if block:
                 out.append((block, text_zone))
 
-    def close(names: str, until: tuple[str, ...]) -> None:
-        wanted = names.split()
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in wanted:
-                del stack[k:]
-                return
-            if stack[k][0] in until or stack[k][0] in ("article", "main", "body", "div", "section") and names == "p":
-                return
-
-    at, n = 0, len(html)
+    at, n, last, quotes = 0, len(html), html.rfind(">"), True
     while at < n:
-        m = _TOKEN.search(html, at)
-        start = m.start() if m else n
+        start = html.find("<", at)
+        comment = start >= 0 and html.startswith("<!--", start)
+        if start < 0 or (start > last and not comment):
+            start = n
         if start > at:
             text_zone = zone
             text.append(html[at:start])
-        if m is None:
+        if start == n:
             break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        if comment:
+            end = html.find("-->", start + 4)
+            at = end + 3 if end >= 0 else n
             continue
+        m = _NAME.match(html, start + 1)
+        if m is None:
+            if html[start + 1] in "!?":
+                at = html.find(">", start) + 1
+            else:
+                text_zone = zone
+                text.append("<")
+                at = start + 1
+            continue
+        rest = _REST.match(html, m.end()) if quotes else None
+        if rest is None:
+            quotes = False
+            end = html.find(">", m.end())
+            raw, at = html[m.end() : end], end + 1
+        else:
+            raw, at = rest[1], rest.end()
+        tag = m[2].lower()
         block = tag in _BLOCKS
         if block:
             flush()
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if not block:  # an inline end tag does not close blocks around it
-                        if any(t in _BLOCKS for t, _ in stack[k + 1 :]):
-                            break
-                        if stack[k][1] != (stack[k - 1][1] if k else PLAIN):
-                            flush()
-                    del stack[k:]
-                    break
-            zone = stack[-1][1] if stack else PLAIN
+        if m[1]:
+            k = held.last((tag,))
+            if k >= 0 and (block or not held.block_above(k)):  # an inline end tag does not close blocks around it
+                if held.zone(k + 1) != held.zone(k):
+                    flush()
+                held.cut(k)
+                zone = held.zone()
             continue
-        raw = m[3] if m[2] else m[6]
         if tag in _RAW:
-            if not raw.endswith("/") or tag not in ("svg", "math"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                at = end.end() if end else n
-            continue
-        if tag == "br" or tag == "wbr":
-            if tag == "br":
-                text.append(" ")
+            if not raw.endswith("/") or tag != "svg":
+                closing = _RAW[tag].search(html, at)
+                end = html.find(">", closing.end()) if closing else -1
+                at = end + 1 if end >= 0 else n
             continue
+        if tag == "br":
+            text.append(" ")
         if tag in _VOID:
             continue
         if block:
-            close("p", ())
+            held.close(*_PARAGRAPH)
             if tag in _CLOSES:
-                close(*_CLOSES[tag])
-            zone = stack[-1][1] if stack else PLAIN
-        inside = _zone(tag, raw, zone)
+                held.close(*_CLOSES[tag])
+            zone = held.zone()
+        inside = _zone(tag, raw, zone) if raw or tag in _ZONED else zone
         if inside != zone:
             flush()
-        stack.append((tag, inside))
+        held.push(tag, inside)
         zone = inside
     flush()
     return out
@@ -242,9 +330,16 @@ def _lengths(a: list, b: list) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
 
 
-def main_text(lines: list[tuple[str, int]], shared: set[int]) -> str:
+def kept_lines(zones: Iterable[int], shared: set[int], use_zones: bool = True) -> list[int]:
+    """Positions of the lines left when those shared with the nearest page are deleted, and the markup has corrected it."""
+    if not use_zones:
+        return [k for k, _ in enumerate(zones) if k not in shared]
+    return [k for k, z in enumerate(zones) if z == CONTENT or (z != CHROME and k not in shared)]
+
+
+def main_text(lines: list[tuple[str, int]], shared: set[int], use_zones: bool = True) -> str:
     """The article of one page, given the positions of lines shared with its nearest page."""
-    return "\n\n".join(x for k, (x, z) in enumerate(lines) if z == CONTENT or (z == PLAIN and k not in shared))
+    return "\n\n".join(lines[k][0] for k in kept_lines([z for _, z in lines], shared, use_zones))
 
 
 def path_order(url: Column) -> tuple[Column, Column]:
@@ -285,23 +380,28 @@ def same_key(a: DataFrame, b: DataFrame) -> Column:
     return a["page_id"].eqNullSafe(b["page_id"]) & a["url"].eqNullSafe(b["url"]) & (a["body"] == b["body"])
 
 
-def shared_with_nearest(path: str, zones: bytes, hashes: bytes, before: dict | None, after: dict | None) -> set[int]:
+def shared_with_nearest(path: str, zones: bytes, hashes: bytes, before: dict | None, after: dict | None, use_zones: bool = True) -> set[int]:
     """Positions of the lines that a page shares with the closer of its neighbours, which is the one with the longer
-    common beginning of the path, the one before if equal. If that would leave nothing of a page without declared
-    content, the other neighbour decides; what stands in both is boilerplate."""
+    common beginning of the path, the one before if equal. If that would leave nothing of a page, the other
+    neighbour decides; what stands in both is boilerplate."""
     alike = lambda x: len(os.path.commonprefix([path, x["path"]]))
     others = sorted((x for x in (before, after) if x), key=alike, reverse=True)
     lines = lambda h: [h[k : k + 8] for k in range(0, len(h), 8)]
     shared: set[int] = set()
     for x in others:
         shared = common_lines(lines(hashes), lines(x["hashes"]))[0]
-        if any(z == CONTENT or (z == PLAIN and k not in shared) for k, z in enumerate(zones)):
+        if kept_lines(zones, shared, use_zones):
             break
     return shared
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for every row; a null or empty page has an empty text. Repeated rows repeat."""
+def extract(pages: DataFrame, zones: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars for every row; ``zones=False`` is differencing alone.
+
+    A null or empty page, and one of markup only, has an empty text. Repeated rows repeat, and rows that share an id or
+    a URL keep apart. A null URL is a host of its own, of one page for all rows with equal lines. Pages of any length
+    are read whole, in time linear in their length. An empty table gives no rows; other columns of pages take no part.
+    """
     spark = pages.sparkSession
     scratch = Scratch(spark, "html")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.xxhash64("html").alias("body"), "html")
@@ -310,14 +410,14 @@ def extract(pages: DataFrame) -> DataFrame:
     def hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pages = [page_lines(h.as_py() or "") for h in batch.column(3)]
-            zones = [bytes(z for _, z in p) for p in pages]
+            zones_of = [bytes(z for _, z in p) for p in pages]
             hashes = [b"".join(xxhash.xxh3_64_digest(x) for x, _ in p) for p in pages]
             digests = [xxhash.xxh3_128_digest(h) for h in hashes]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(x, pa.binary()) for x in (digests, zones, hashes)]], [*names, "digest", "zones", "hashes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(x, pa.binary()) for x in (digests, zones_of, hashes)]], [*names, "digest", "zones", "hashes"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.array(sorted(shared_with_nearest(*r.values())), dtype="<u4").tobytes() for r in batch.select(["path", "zones", "hashes", "before", "after"]).to_pylist()]
+            found = [np.array(sorted(shared_with_nearest(*r.values(), zones)), dtype="<u4").tobytes() for r in batch.select(["path", "zones", "hashes", "before", "after"]).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["host", "digest", "shared"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +433,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = []
             for lines, shared in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 split = wide.decompress(lines).decode().split("\n")
-                texts.append(main_text([(x[1:], int(x[0])) for x in split if x], set(np.frombuffer(shared or b"", "<u4").tolist())))
+                texts.append(main_text([(x[1:], int(x[0])) for x in split if x], set(np.frombuffer(shared or b"", "<u4").tolist()), zones))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     hashed = own.mapInArrow(hash_lines, "page_id long, url string, body long, digest binary, zones binary, hashes binary")

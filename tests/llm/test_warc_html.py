@@ -1,6 +1,8 @@
 import hashlib
+import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from html import unescape
 
@@ -117,6 +119,54 @@ def test_chrome_by_class_and_role():
         assert ("kept", 1) in html.page_lines(f"<main><div {mark}>kept</div></main>"), mark
 
 
+def test_names_that_hint_inside_an_article(spark):
+    """Inside an article they go only where the nearest page has the same lines; math is text."""
+    shell = """<article><h1>T{0}</h1><p class="share">Share this</p><p class="share">share of {0}</p><div class="related-work"><p>related {0}</p></div>
+    <h2 id="search">Search {0}</h2><p>let <math><mi>x</mi><mo>=</mo><mn>{0}</mn><annotation>x={0}</annotation></math> be</p><div class="comments">c{0}</div></article>"""
+    rows = [(k, f"http://h.example/{k}", shell.format(k)) for k in range(3)] + [(9, "http://alone.example/", shell.format(9))]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in (0, 1, 2, 9):
+        share = ["Share this"] if k == 9 else []
+        assert got[k].split("\n\n") == [f"T{k}", *share, f"share of {k}", f"related {k}", f"Search {k}", f"let x={k} be"]
+
+
+def test_differencing_decides(spark, sf, monkeypatch):
+    """With sharing turned off, texts change: by differencing alone on the table, by default on pages without an article."""
+    pages = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet")
+    plain = [(k, f"http://h.example/{k}", f"<div>Site</div><p>Text {k}</p>") for k in range(4)]
+    plain = spark.createDataFrame(plain, "page_id long, url string, html string")
+    texts = lambda df, zones: {r.page_id: r.text for r in html.extract(df, zones).collect()}
+    by_lines, by_default = texts(pages, False), texts(plain, True)
+    hosts = defaultdict(list)
+    for r in pages.collect():
+        hosts[r.url.split("/")[2]].append((re.sub(r"[?#].*", "", "/" + r.url.split("/", 3)[3]), r.page_id, [x for x, _ in html.page_lines(r.html)]))
+    changed = 0
+    for group in hosts.values():
+        group.sort()
+        for i, (path, page_id, lines) in enumerate(group):
+            near = [group[j] for j in (i - 1, i + 1) if 0 <= j < len(group)]
+            near.sort(key=lambda g: -len(os.path.commonprefix([g[0], path])))
+            for _, _, other in near:  # brute force: the nearest page that leaves something
+                left = [x for k, x in enumerate(lines) if k not in html.common_lines(lines, other)[0]]
+                if left:
+                    break
+            want = left if near else lines
+            assert by_lines[page_id] == "\n\n".join(want)
+            changed += want != lines
+    assert changed > 10 and by_default == {k: f"Text {k}" for k in range(4)}
+
+
+def test_hostile_markup_is_linear():
+    """A megabyte each; tags, quotes, comments and elements that never close."""
+    pieces = ["<a ", "<a \"'>", "<a =\"'>", '<a b="1 ', "<!x", "<", "<p>", "<ul>", "<i><div>", "&#", "</script ", "<svg>", "<b></i>"]
+    for piece in pieces:
+        page = piece * (1_000_000 // len(piece))
+        began = time.process_time()
+        html.page_lines(page)
+        assert time.process_time() - began < (1 if piece == "<a " else 10), piece
+    assert html.page_lines("<a " * 3 + "x") == [("<a <a <a x", 0)]
+
+
 def test_common_lines_is_longest():
     rnd = random.Random(2)
 
