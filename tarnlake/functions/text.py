@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -115,8 +116,10 @@ def host_allowed(url: Column, hosts: tuple[str, ...]) -> Column:
 
 
 def fill_template(template: str, **values: Column) -> Column:
-    """The template with each {name} replaced by the column of that name; null is empty."""
-    out = F.lit(template)
-    for name, value in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
-    return out
+    """The template with each {name} replaced by the column of that name; null is empty.
+
+    The template is cut once, so that what stands in a value, braces too, is text.
+    """
+    parts = re.split(r"\{(" + "|".join(map(re.escape, values)) + r")\}", template) if values else [template]
+    filled_in = [F.coalesce(values[p].cast("string"), F.lit("")) if k % 2 else F.lit(p) for k, p in enumerate(parts)]
+    return F.concat(*filled_in)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -50,38 +51,59 @@ def number_chunks(chunks: DataFrame, parts: int | None = None, whole: bool = Fal
 
     Prefix sums over ranges: counts of ranges of ids enter one running sum, a window numbers each range.
     """
-    n = parts or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     by_doc = chunks.withColumn("_id", F.col("doc_id").cast("long"))
-    counts = by_doc.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(n, "_id").withColumn("_range", F.spark_partition_id()).cache()
+    firsts = first_numbers(by_doc.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")), parts).drop("_n")
+    local = F.col("part") if whole else F.row_number().over(Window.partitionBy("_id").orderBy("part")) - 1
+    return by_doc.withColumn("_local", local).join(firsts, "_id").withColumn("chunk_index", F.col("_first") + F.col("_local")).drop("_id", "_local", "_first")
+
+
+def chunk_counts(docs: DataFrame, size: int = 200, overlap: int = 50) -> DataFrame:
+    """(_id, _n): how many chunks ``chunk_fixed`` cuts of each document, without cutting them."""
+    step = size - overlap
+    n = F.greatest(F.lit(1), F.ceil((F.length("page_content") - overlap) / step).cast("int"))
+    return docs.filter("page_content != ''").select(F.col("doc_id").cast("long").alias("_id"), n.alias("_n")).groupBy("_id").agg(F.sum("_n").alias("_n"))
+
+
+def first_numbers(counts: DataFrame, parts: int | None = None) -> DataFrame:
+    """(_id, _n, _first) of (_id, _n): the sum of _n over all smaller ids. Narrow rows only."""
+    n = parts or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    # kept: both readers must see the same ranges
+    counts = counts.repartitionByRange(n, "_id").withColumn("_range", F.spark_partition_id()).cache()
     totals = counts.groupBy("_range").agg(F.sum("_n").alias("_sum"))  # a row for each range
     bases = totals.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     within = Window.partitionBy("_range").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(F.broadcast(bases), "_range").select("_id", (F.col("_before") + F.col("_base")).alias("_first"))
-    local = F.col("part") if whole else F.row_number().over(Window.partitionBy("_id").orderBy("part")) - 1
-    return by_doc.withColumn("_local", local).join(firsts, "_id").withColumn("chunk_index", F.col("_first") + F.col("_local")).drop("_id", "_local", "_first")
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    return before.join(F.broadcast(bases), "_range").select("_id", "_n", (F.col("_before") + F.col("_base")).alias("_first"))
+
+
+def number_hits(hits: DataFrame, firsts: DataFrame) -> DataFrame:
+    """chunk_index in place of (num, part) of a few rows, such as a top list, which is what is broadcast."""
+    found = firsts.join(F.broadcast(hits), firsts["_id"] == hits["num"])
+    return found.withColumn("chunk_index", F.col("_first") + F.col("part")).drop("_id", "_n", "_first", "num", "part")
+
+
+def chunks_at(docs: DataFrame, firsts: DataFrame, numbers: DataFrame, size: int = 200, overlap: int = 50) -> DataFrame:
+    """The chunks of the few chunk_index in ``numbers``, with their other columns: only their documents are cut."""
+    at = (F.col("chunk_index") >= F.col("_first")) & (F.col("chunk_index") < F.col("_first") + F.col("_n"))
+    places = firsts.join(F.broadcast(numbers), at).select(F.col("_id"), (F.col("chunk_index") - F.col("_first")).alias("part"), *numbers.columns)
+    own = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    piece = F.substr(F.col("page_content"), (F.col("part") * (size - overlap) + 1).cast("int"), F.lit(size))
+    return own.join(F.broadcast(places), "_id").withColumn("content", piece).select("doc_id", "source_reference", "part", "content", *numbers.columns)
 
 
 def split_recursive(text: str, size: int = 200, overlap: int = 50, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Pieces of at most ``size`` characters: cut at the first separator that occurs, keep it with its piece, cut
     longer pieces at the next one, merge neighbours up to ``size`` and carry at most ``overlap`` over."""
-    sep = next((s for s in separators if s == "" or s in text), "")
-    finer = separators[separators.index(sep) + 1 :]
-    if sep:
-        cut = text.split(sep)
-        pieces = [p + sep for p in cut[:-1]] + [cut[-1]] * bool(cut[-1])
-    else:
-        pieces = [text[k : k + size] for k in range(0, len(text), size)]
-    small: list[str] = []
-    for p in pieces:
-        small += [p] if len(p) <= size else split_pieces(p, size, finer)
     out: list[str] = []
-    held: list[str] = []
-    for p in small:
-        if held and sum(map(len, held)) + len(p) > size:
+    held: deque[str] = deque()
+    n = 0
+    for p in split_pieces(text, size, separators) if text else ():
+        if held and n + len(p) > size:
             out.append("".join(held))
-            while held and (sum(map(len, held)) > overlap or sum(map(len, held)) + len(p) > size):
-                held.pop(0)
+            while held and (n > overlap or n + len(p) > size):
+                n -= len(held.popleft())
         held.append(p)
+        n += len(p)
     out.append("".join(held))
     return [s for s in (x.strip() for x in out) if s]
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.functions.text import sanitize
+
 ALL = (None, "", "All Intents", "All Languages")
 
 
@@ -133,13 +135,26 @@ def node_scale(nodes: DataFrame, low: float = 6.0, high: float = 24.0) -> DataFr
     return nodes.join(F.broadcast(ends)).select("keyword", "size", F.round(radius, 6).alias("radius"))
 
 
+def radar_scale(counts: DataFrame, name: str = "intent", count: str = "count", radius: float = 1.0) -> DataFrame:
+    """Adds radius: linear from 0 to the largest count, which is 1 at least."""
+    top = counts.agg(F.greatest(F.max(count), F.lit(1)).alias("_most"))  # one row
+    return counts.join(F.broadcast(top)).select(name, count, F.round(F.col(count) / F.col("_most") * radius, 6).alias("radius"))
+
+
+def checked_message(message: Column, max_length: int = 2000) -> Column:
+    """The sanitized message; an error if nothing is left of it."""
+    clean = sanitize(message, max_length)
+    return F.when(clean == "", F.raise_error(F.lit("Message is empty or invalid.")).cast("string")).otherwise(clean)
+
+
 def display(df: DataFrame) -> DataFrame:
-    """Short labels: session of 8 characters, intent without underscores, cut message and title."""
+    """Short labels: session of 8 characters (N/A without one), intent without underscores (Unclear without one), cut
+    message and title."""
     msg = F.col("user_message")
     return df.select(
         "id",
-        F.concat(F.substring("session_id", 1, 8), F.lit("...")).alias("session_label"),
-        F.replace(F.col("intent"), F.lit("_"), F.lit(" ")).alias("intent_label"),
+        F.coalesce(F.concat(F.substring(F.nullif("session_id", F.lit("")), 1, 8), F.lit("...")), F.lit("N/A")).alias("session_label"),
+        F.coalesce(F.replace(F.nullif("intent", F.lit("")), F.lit("_"), F.lit(" ")), F.lit("Unclear")).alias("intent_label"),
         F.when(F.length(msg) > 16, F.concat(F.substring(msg, 1, 14), F.lit("…"))).otherwise(msg).alias("short_label"),
         F.substring(msg, 1, 48).alias("title"),
     )

@@ -81,48 +81,69 @@ def allowed(intent: Column) -> Column:
     return intent.isin(*INTENTS)
 
 
-def first_object(text: str) -> tuple[dict | None, str | None]:
-    """(object, error): the whole text, else the first brace from which an object can be read."""
+NO_OBJECT = "No JSON object found: line 1 column 1 (char 0)"
+
+
+def first_object(text: str, most_read: int = 50) -> tuple[dict | None, str | None]:
+    """(object, error): the whole text if it is an object, else the first brace from which an object can be read.
+
+    Nesting too deep for the reader counts as unreadable. Braces are tried until ``most_read`` times the text's
+    length has been read in vain, which only texts of thousands of unclosed braces reach.
+    """
+    reader = json.JSONDecoder()
     try:
-        value = json.loads(text)
-    except ValueError as e:
-        error = str(e)
-    else:
-        return (value, None) if isinstance(value, dict) else (None, "not an object")
-    reader, at = json.JSONDecoder(), text.find("{")
-    while at >= 0:
+        value = reader.decode(text)
+    except (ValueError, RecursionError):
+        value = None
+    at, left = (-1 if isinstance(value, dict) else text.find("{")), most_read * len(text) + 100_000
+    while at >= 0 and left > 0:
         try:
             value, _ = reader.raw_decode(text, at)
-        except ValueError:
-            value = None
+            left -= 1
+        except json.JSONDecodeError as e:
+            left -= e.pos - at + 1
+        except RecursionError:
+            left -= 10_000
         if isinstance(value, dict):
-            return value, None
+            break
         at = text.find("{", at + 1)
-    return None, error
+    return (value, None) if isinstance(value, dict) else (None, NO_OBJECT)
 
 
-def repair_json(df: DataFrame, column: str, out: str = "object") -> DataFrame:
-    """Adds the router's object as JSON text (null: none) and ``<out>_error``. Python, in Arrow batches: reading an
-    object from the middle of a text has no built-in form."""
+def _read_objects(text: Column) -> Column:
+    """Struct(object as JSON text, error) of each text. Python, in Arrow batches: reading an object from the middle
+    of a text has no built-in form. A null text is passed over."""
 
     @F.pandas_udf("object string, error string")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = [first_object(t) if t is not None else (None, "null") for t in texts]
+            rows = [first_object(t) if t is not None else (None, None) for t in texts]
             yield pd.DataFrame({"object": [None if o is None else json.dumps(o, ensure_ascii=False) for o, _ in rows], "error": [e for _, e in rows]}, dtype=object)
 
-    return df.withColumn("_read", read(strip_json_fence(F.col(column)))).withColumns({out: F.col("_read.object"), f"{out}_error": F.col("_read.error")}).drop("_read")
+    return read(text)
+
+
+def repair_json(df: DataFrame, column: str, out: str = "object") -> DataFrame:
+    """Adds the router's object as JSON text (null: none) and ``<out>_error``. A null text counts as empty."""
+    text = strip_json_fence(F.coalesce(F.col(column), F.lit("")))
+    return df.withColumn("_read", _read_objects(text)).withColumns({out: F.col("_read.object"), f"{out}_error": F.col("_read.error")}).drop("_read")
 
 
 def parse_output(df: DataFrame, column: str) -> DataFrame:
-    """Adds payload (intent Unclear where it is not allowed) and error: null, invalid_json or unsupported_intent."""
-    read = repair_json(df, column, "_json")
-    got = read.withColumn("_p", F.when(F.col("_json").isNotNull(), payload_from_json(F.col("_json"))))
+    """Adds payload (intent Unclear where it is not allowed) and error: null, invalid_json or unsupported_intent.
+
+    Texts that begin with an object are read in the JVM; only the others go to Python.
+    """
+    text = df.withColumn("_text", strip_json_fence(F.coalesce(F.col(column), F.lit(""))))
+    own = F.col("_text").startswith("{") & F.try_parse_json("_text").isNotNull()
+    read = text.withColumn("_own", own).withColumn("_read", _read_objects(F.when(~F.col("_own"), F.col("_text"))))
+    found = F.when(F.col("_own"), F.col("_text")).otherwise(F.col("_read.object"))
+    got = read.withColumn("_p", F.when(found.isNotNull(), payload_from_json(found)))
     ok = allowed(F.col("_p.intent"))
     empty = F.struct(F.lit("").alias("language"), F.lit("Unclear").alias("intent"), F.array().cast(NO_WORDS).alias("keywords"), F.lit("").alias("english_translation_or_summary"))
     payload = F.when(F.col("_p").isNull(), empty).when(ok, F.col("_p")).otherwise(F.col("_p").withField("intent", F.lit("Unclear")))
-    error = F.when(F.col("_p").isNull(), F.concat(F.lit("invalid_json: "), F.col("_json_error"))).when(~ok, "unsupported_intent")
-    return got.withColumns({"payload": payload, "error": error}).drop("_json", "_json_error", "_p")
+    error = F.when(F.col("_p").isNull(), F.concat(F.lit("invalid_json: "), F.col("_read.error"))).when(~ok, "unsupported_intent")
+    return got.withColumns({"payload": payload, "error": error}).drop("_text", "_own", "_read", "_p")
 
 
 def normalize_row(df: DataFrame) -> DataFrame:
@@ -137,6 +158,38 @@ def normalize_row(df: DataFrame) -> DataFrame:
     )
 
 
+def stored_row(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """The router log's row: what the graph routed by (route_language, route_intent, route_keywords, route_summary), each
+    from the model's ``payload`` (JSON text) where it is missing or empty, beside the payload itself cleaned.
+
+    Rows without any intent are not logged. The stored intent keeps its name: aliases are not mapped here.
+    """
+    v = F.try_parse_json(payload)
+    field = lambda name: F.try_variant_get(v, f"$.{name}", "string")
+    missing = lambda c: F.nullif(F.col(c), F.lit(""))
+    single = F.when(F.schema_of_variant(F.try_variant_get(v, "$.keywords", "variant")) == "STRING", F.array(field("keywords")))
+    words = F.coalesce(single, F.try_variant_get(v, "$.keywords", NO_WORDS), F.array().cast(NO_WORDS))
+    cleaned = F.struct(
+        F.coalesce(py_strip(field("language")), F.lit("")).alias("language"),
+        py_strip(F.coalesce(F.nullif(field("intent"), F.lit("")), F.lit("Unclear"))).alias("intent"),
+        clean_keywords(words).alias("keywords"),
+        F.coalesce(py_strip(field("english_translation_or_summary")), F.lit("")).alias("english_translation_or_summary"),
+    )
+    rows = df.select(
+        "session_id",
+        "turn_index",
+        "user_message",
+        F.coalesce(missing("route_language"), field("language")).alias("language"),
+        F.coalesce(missing("route_intent"), F.nullif(field("intent"), F.lit(""))).alias("intent"),
+        F.when(F.size(F.coalesce("route_keywords", F.array().cast(NO_WORDS))) > 0, F.col("route_keywords")).otherwise(words).alias("keywords"),
+        F.coalesce(missing("route_summary"), field("english_translation_or_summary")).alias("english_translation_or_summary"),
+        cleaned.alias("router_payload"),
+        "created_at",
+        F.greatest(F.coalesce("latency_ms", F.lit(0).cast("long")), F.lit(0).cast("long")).alias("latency_ms"),
+    )
+    return rows.filter("intent is not null")
+
+
 # ---- control flow as pure functions of a row -------------------------------------------------------
 
 

@@ -107,6 +107,16 @@ def rl_display(spark, sf_dir):
     return logs.display(router_logs(spark, sf_dir))
 
 
+@query("rl_intent_distribution_all", with_views("rl", "SELECT intent, count(*) AS n FROM rl WHERE intent <> '' GROUP BY intent"))
+def rl_intent_distribution_all(spark, sf_dir):
+    return logs.distribution(router_logs(spark, sf_dir), "intent", cap=None)
+
+
+@query("radar_scale", with_views("rl", "SELECT intent, count(*) AS n, round(count(*) / max(count(*)) OVER () * 110.0, 6) AS radius FROM rl GROUP BY intent"))
+def radar_scale(spark, sf_dir):
+    return logs.radar_scale(logs.distribution(router_logs(spark, sf_dir), "intent", cap=None), "intent", "n", 110.0)
+
+
 @query("rl_export", with_views("rl", f"""
 SELECT id, session_id, {ISO} AS created_at, intent, language, latency_ms, user_message, array_to_string(keywords, ', ') AS keywords,
        '{{"language":"' || language || '","intent":"' || intent || '","keywords":["' || array_to_string(keywords, '","') || '"]}}' AS payload

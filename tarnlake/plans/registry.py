@@ -52,10 +52,11 @@ SQL = {
         SELECT source AS key, doc_id AS pos, trim(text, {BLANK}) AS content,
                CASE WHEN doc_id % 8 = 0 THEN 'https://x.example/' || source WHEN doc_id % 4 = 0 THEN 'Unknown Source' ELSE source END AS source_reference,
                CASE WHEN doc_id % 8 = 0 THEN 'https://x.example/' || source ELSE '' END AS url,
-               CAST(n_chars % 3 AS INTEGER) AS chunk_index, CASE WHEN doc_id % 2 = 0 THEN 'T' || source ELSE '' END AS title
+               CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE '' END || n_chars % 3 AS number, CASE WHEN doc_id % 7 <> 0 THEN CAST(n_chars % 3 AS INTEGER) END AS chunk_index,
+               CASE WHEN doc_id % 5 = 0 THEN (doc_id % 10) / 4.0 END AS score, CASE WHEN doc_id % 2 = 0 THEN 'T' || source ELSE '' END AS title
         FROM documents WHERE trim(coalesce(text, ''), {BLANK}) <> ''
     ), once AS (
-        SELECT *, row_number() OVER (PARTITION BY key, source_reference, chunk_index, trim(regexp_replace(lower(content), '\\s+', ' ', 'g')) ORDER BY pos) AS n FROM ctx
+        SELECT *, row_number() OVER (PARTITION BY key, source_reference, number, trim(regexp_replace(lower(content), '\\s+', ' ', 'g')) ORDER BY pos) AS n FROM ctx
     ), items AS (
         SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY key ORDER BY pos) AS INTEGER) AS ordinal FROM once WHERE n = 1) WHERE ordinal <= 5)""",
 }

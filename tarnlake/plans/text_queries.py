@@ -151,13 +151,15 @@ def router_payload(spark, sf_dir):
 
 def _model_output(k):
     whole = _router_json(k)
-    return F.when(k % 5 == 0, F.concat(F.lit("<think>{no}</think> "), whole)).when(k % 5 == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(k % 5 == 2, "nothing here").otherwise(whole)
+    none = F.when(k % 2 == 0, "nothing here").otherwise("[" * 20_000)
+    listed = F.when(k % 2 == 0, F.concat(F.lit("["), whole, F.lit("]"))).otherwise(whole)
+    return F.when(k % 5 == 0, F.concat(F.lit("<think>{no}</think> "), whole)).when(k % 5 == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(k % 5 == 2, none).otherwise(listed)
 
 
 _NAME_SQL = "CASE k % 8 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_NAMES)) + " END"
 _WORDS_SQL = """CASE k % 3 WHEN 0 THEN '"solo"' WHEN 1 THEN '["a", " b ", ""]' ELSE 'null' END"""
 _JSON_SQL = f"""'{{"language": " L' || k % 7 || ' ", "intent": "' || {_NAME_SQL} || '", "keywords": ' || {_WORDS_SQL} || ', "english_translation_or_summary": "s' || k || '", "why": 1}}'"""
-_ERROR_SQL = "'Expecting value: line 1 column 1 (char 0)'"
+_ERROR_SQL = "'No JSON object found: line 1 column 1 (char 0)'"
 
 
 @query("router_json_repair", with_views("rl", f"SELECT id AS event_id, CASE WHEN k % 5 <> 2 THEN {_JSON_SQL} END AS object, CASE WHEN k % 5 = 2 THEN {_ERROR_SQL} END AS object_error FROM rl"))
@@ -214,6 +216,32 @@ def router_row_normalize(spark, sf_dir):
     return router.normalize_row(rows).withColumn("keywords", F.array_join("keywords", "|"))
 
 
+@query("router_row_stored", with_views("rl", """
+SELECT session_id, id AS turn_index, user_message, CASE WHEN k % 3 = 0 THEN language ELSE 'pl' END AS language, CASE WHEN k % 4 = 0 THEN 'Emergency' ELSE intent END AS intent,
+       CASE WHEN k % 5 = 0 THEN 'a|b' ELSE 'solo' END AS keywords, CASE WHEN k % 2 = 0 THEN 'own' ELSE 'ps' END AS english_translation_or_summary,
+       'pl|' || CASE WHEN k % 4 = 0 THEN 'Emergency' ELSE 'Unclear' END || '|solo|ps' AS payload, created_at, greatest(0, latency_ms - 20) AS latency_ms
+FROM rl WHERE k % 4 = 0 OR k % 7 <> 0"""))
+def router_row_stored(spark, sf_dir):
+    """Fields that the graph left empty come from the payload, whose keyword stands alone; no intent, no row."""
+    k = F.col("k")
+    intent = F.when(k % 4 == 0, F.lit('"intent": "Emergency", ')).otherwise('"intent": "", ')
+    rows = router_logs(spark, sf_dir).select(
+        "session_id",
+        F.col("id").alias("turn_index"),
+        "user_message",
+        F.when(k % 3 == 0, F.col("language")).otherwise("").alias("route_language"),
+        F.when((k % 4 != 0) & (k % 7 != 0), F.col("intent")).alias("route_intent"),
+        F.when(k % 5 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("route_keywords"),
+        F.when(k % 2 == 0, "own").alias("route_summary"),
+        F.concat(F.lit('{"language": "pl", '), intent, F.lit('"keywords": "solo", "english_translation_or_summary": "ps"}')).alias("payload"),
+        "created_at",
+        (F.col("latency_ms") - 20).alias("latency_ms"),
+    )
+    p = F.col("router_payload")
+    flat = F.concat_ws("|", p["language"], p["intent"], F.array_join(p["keywords"], "|"), p["english_translation_or_summary"])
+    return router.stored_row(rows).withColumns({"payload": flat, "keywords": F.array_join("keywords", "|")}).drop("router_payload")
+
+
 _STATE = with_views("rl", "SELECT id, CASE {} END AS route FROM rl")
 
 

@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as a URI without a trailing slash: ``spark.checkpoint.dir``.
+
+    Only a session on one machine may leave it unset; it then gets a temporary folder.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tarnlake-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def build_session(app: str = "tarnlake", master: str | None = None, shuffle_partitions: int | None = None, **extra: str) -> SparkSession:
     """A session in UTC with adaptive planning; ``extra`` settings win."""
     conf = {

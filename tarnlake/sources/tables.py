@@ -55,8 +55,9 @@ def tool_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("content"),
         F.when(doc % 4 == 0, "").otherwise(F.col("source")).alias("source_reference"),
         F.when(doc % 8 == 0, F.concat(F.lit("https://x.example/"), "source")).alias("url"),
-        (F.col("n_chars") % 3).cast("int").alias("chunk_index"),
+        F.concat(F.when(doc % 7 == 0, "x").otherwise(""), (F.col("n_chars") % 3).cast("string")).alias("chunk_index"),
         F.when(doc % 2 == 0, F.concat(F.lit("T"), "source")).alias("title"),
+        F.when(doc % 5 == 0, (doc % 10) / 4).alias("score"),
     )
     payload = F.to_json(F.struct(F.array(item).alias("documents")))
     return read(spark, sf_dir, "documents").select(F.col("source").alias("key"), doc.alias("at"), payload.alias("raw"))

@@ -63,5 +63,6 @@ def test_message_sources(spark):
 
 
 def test_template(spark):
-    got = spark.range(1).select(fill_template("Q: {q} / {x}{y}", q=F.lit("a{y}"), y=F.lit(None)).alias("t")).first()["t"]
-    assert got == "Q: a / {x}"
+    got = spark.range(1).select(fill_template("Q: {q} / {x}{y}", q=F.lit("say {y} $1"), y=F.lit("SECRET"), z=F.lit(None)).alias("t")).first()["t"]
+    assert got == "Q: say {y} $1 / {x}SECRET"  # what stands in a value is not searched again
+    assert spark.range(1).select(fill_template("a {z}b", z=F.lit(None)).alias("t")).first()["t"] == "a b"

@@ -94,6 +94,11 @@ RAW = [
     ('{"intent": "Cost_Insurance"} trailing', "Cost_Insurance", [], None),
     ("no json", "Unclear", [], "invalid_json"),
     ("[1]", "Unclear", [], "invalid_json"),
+    ('[{"intent": "Cost_Insurance"}]', "Cost_Insurance", [], None),
+    ('{"a": {"intent": "Cost_Insurance"}', "Cost_Insurance", [], None),
+    ('{"intent": "Unclear", "intent": "Cost_Insurance"}', "Cost_Insurance", [], None),
+    ("[" * 100_000, "Unclear", [], "invalid_json"),
+    ('{"a":' * 30_000, "Unclear", [], "invalid_json"),
     (None, "Unclear", [], "invalid_json"),
     ('{"intent": " "}', "Unclear", [], None),
 ]
@@ -105,6 +110,7 @@ def test_parse_output(spark):
         _, intent, keywords, error = RAW[r.id]
         assert (r.payload.intent, r.payload.keywords) == (intent, keywords), RAW[r.id]
         assert (r.error or "").split(":")[0] == (error or ""), RAW[r.id]
+        assert error != "invalid_json" or r.error == "invalid_json: No JSON object found: line 1 column 1 (char 0)"
 
 
 def test_gates(spark):
