@@ -1,9 +1,13 @@
 """Quality rules as a short-circuit cascade ordered by rejection per cost.
 
-DataFrame functions only. Every rule is a predicate "this document fails". On a random sample each
-rule's cost (its measured run time) and selectivity (its share of rejected documents) are estimated;
-the rules then stand in one CASE expression, most rejection per cost first, so that a document pays
-only for the rules up to the first that rejects it. The order changes cost, never the verdict.
+DataFrame functions only. Every rule is a predicate "this document fails" over a document's ``Parts``. On a random sample
+each rule's cost (its measured run time from the raw text on) and selectivity (its share of rejected documents)
+are estimated; the rules then stand in one CASE expression, most rejection per cost first, so that a document pays
+only for the rules up to the first that rejects it: lines, windows and all else but the words, which every rule needs,
+are cut inside the rules. The order changes cost, never the verdict.
+
+Null and empty texts have no words; texts of any length are read whole. Repeated rows and ids are judged each on
+their own, extra columns pass through whatever their names, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from tarnlake.llm.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def words_of(text: Column) -> Column:
@@ -35,68 +40,91 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def with_parts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds _text (null: empty), _w (words) and _lines (lines that hold a word)."""
-    df = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    parts = F.struct(words_of(F.col("_text")).alias("_w"), lines_with_words(F.col("_text")).alias("_lines"))
-    return df.withColumn("_parts", once(parts)).withColumns({"_w": F.col("_parts._w"), "_lines": F.col("_parts._lines")}).drop("_parts")
-
-
-def with_windows(df: DataFrame) -> DataFrame:
-    """Adds _grams: a 64-bit hash of each window of three words, in order."""
-    last = F.size("_w") - 3
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    gram = lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))
-    return df.withColumn("_grams", once(F.transform(starts, gram)))
-
-
-def word_chars() -> Column:
-    return F.aggregate("_w", F.lit(0).cast("long"), lambda n, w: n + F.length(w))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed where it is needed and once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def n_symbols() -> Column:
-    return (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long")
+def with_words(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds _text (null: empty) and _w (its words)."""
+    df = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    return df.withColumn("_w", once(words_of(F.col("_text"))))
 
 
-def n_dup_lines() -> Column:
-    return (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")
+def windows(words: Column) -> Column:
+    """A 64-bit hash of each window of three words, in order."""
+    last = F.size(words) - 2
+    hashes = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    return F.when(last > 0, F.slice(hashes, F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<long>"))
 
 
-def n_repeat_words() -> Column:
+def repeat_words(words: Column) -> Column:
     """Words covered by three-word windows that occur twice or more.
 
     Texts without any repeated window hash, which are most, leave at a hash-set test. For the rest the
     (hash, start) pairs are sorted, neighbours of equal hash are compared word by word, and the union
     of the windows found is measured from their sorted starts.
     """
-    pairs = F.array_sort(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    words = lambda i: F.slice("_w", i + 1, 3)
-    same = lambda a, b: F.coalesce((a["h"] == b["h"]) & (words(a["i"]) == words(b["i"])), F.lit(False))
-    # a one-element array binds the sorted pairs once; the lambda's variable is then cheap to use often
-    starts = F.flatten(
-        F.transform(
-            F.array(pairs),
-            lambda s: F.array_sort(
-                F.transform(
-                    F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1))),
-                    lambda x: x["i"],
-                )
-            ),
+    three = lambda i: F.slice(words, i + 1, 3)
+    same = lambda a, b: F.coalesce((a["h"] == b["h"]) & (three(a["i"]) == three(b["i"])), F.lit(False))
+
+    def covered(grams: Column) -> Column:
+        pairs = F.array_sort(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        repeated = lambda s: F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
+        starts = bound(pairs, lambda s: F.array_sort(F.transform(repeated(s), lambda x: x["i"])))
+        return F.aggregate(
+            starts,
+            F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("at")),
+            lambda acc, i: F.struct((acc["n"] + F.least(F.lit(3), i - acc["at"])).alias("n"), i.alias("at")),
+            lambda acc: acc["n"],
         )
-    )
-    covered = F.aggregate(
-        starts,
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("at")),
-        lambda acc, i: F.struct((acc["n"] + F.least(F.lit(3), i - acc["at"])).alias("n"), i.alias("at")),
-        lambda acc: acc["n"],
-    )
-    return F.when(F.size(F.array_distinct("_grams")) == F.size("_grams"), F.lit(0).cast("long")).otherwise(covered)
+
+    return bound(windows(words), lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("long")).otherwise(covered(g)))
+
+
+class Parts:
+    """What rules are made of, as expressions over _text and _w that are computed where a rule names them; ``counted``
+    names columns that hold some of it already."""
+
+    def __init__(self, counted: tuple[str, ...] = ()):
+        self._counted = counted
+
+    def _or(self, name: str, value: Callable[[], Column]) -> Column:
+        return F.col(name) if name in self._counted else value()
+
+    def n_words(self) -> Column:
+        return self._or("n_words", lambda: F.size("_w").cast("long"))
+
+    def word_chars(self) -> Column:
+        return self._or("word_chars", lambda: F.length(F.translate("_text", SPACES, "")).cast("long"))
+
+    def n_symbols(self) -> Column:
+        return self._or("n_symbols", lambda: (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"))
+
+    def lines(self) -> Column:
+        """Struct(n: lines with a word, dup: those equal to an earlier one)."""
+        counts = lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))
+        return self._or("lines", lambda: bound(lines_with_words(F.col("_text")), counts))
+
+    def n_repeat_words(self) -> Column:
+        return self._or("n_repeat_words", lambda: repeat_words(F.col("_w")))
+
+    def letter_words(self) -> Column:
+        return self._or("letter_words", lambda: F.size(F.filter("_w", lambda w: w.rlike(r"\p{L}"))))
+
+    def repeats_over(self, pct: int) -> Column:
+        """100 * n_repeat_words > pct * n_words. A repeated window's words occur elsewhere too, so c covered words leave
+        n_words - c / 2 distinct ones at most: texts with more than (1 - pct / 200) * n_words need no windows."""
+        if "n_repeat_words" in self._counted:
+            return 100 * self.n_repeat_words() > pct * self.n_words()
+        few = 200 * F.size(F.array_distinct("_w")) <= (200 - pct) * F.size("_w")
+        return F.when(few, 100 * self.n_repeat_words() > pct * self.n_words()).otherwise(False)
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str
-    fails: Callable[[], Column]
+    fails: Callable[[Parts], Column]
 
 
 def production_rules(
@@ -109,14 +137,13 @@ def production_rules(
     letter_word_pct: int = 50,
 ) -> list[Rule]:
     """Integer comparisons throughout; a document without words fails min_words."""
-    letters = lambda: F.size(F.filter("_w", lambda w: w.rlike(r"\p{L}")))
     return [
-        Rule("min_words", lambda: F.size("_w") < min_words),
-        Rule("repeats", lambda: 100 * n_repeat_words() > repeat_pct * F.size("_w")),
-        Rule("symbols", lambda: 100 * n_symbols() > symbol_pct * word_chars()),
-        Rule("dup_lines", lambda: 100 * n_dup_lines() > dup_line_pct * F.size("_lines")),
-        Rule("word_length", lambda: (word_chars() < min_word_len * F.size("_w")) | (word_chars() > max_word_len * F.size("_w"))),
-        Rule("letters", lambda: 100 * letters() < letter_word_pct * F.size("_w")),
+        Rule("min_words", lambda p: p.n_words() < min_words),
+        Rule("repeats", lambda p: p.repeats_over(repeat_pct)),
+        Rule("symbols", lambda p: 100 * p.n_symbols() > symbol_pct * p.word_chars()),
+        Rule("dup_lines", lambda p: bound(p.lines(), lambda x: 100 * x["dup"] > dup_line_pct * x["n"])),
+        Rule("word_length", lambda p: bound(p.word_chars(), lambda n: (n < min_word_len * p.n_words()) | (n > max_word_len * p.n_words()))),
+        Rule("letters", lambda p: 100 * p.letter_words() < letter_word_pct * p.n_words()),
     ]
 
 
@@ -129,25 +156,27 @@ def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, see
     if n == 0:
         return list(rules)
     scratch = Scratch(docs.sparkSession, "quality")
-    picked = docs.select("text").sample(fraction=min(1.0, sample_rows / n), seed=seed)
-    sample = scratch.table(with_windows(with_parts(picked)).drop("text"), "sample")
+    sample = scratch.table(docs.select("text").sample(fraction=min(1.0, sample_rows / n), seed=seed), "sample")
+    worded = with_words(sample)
 
     def timed(flag: Column) -> tuple[float, int]:
         began = time.perf_counter()
-        hits = sample.agg(F.coalesce(F.sum(flag.cast("int")), F.lit(0)).alias("n")).first()["n"]
+        hits = worded.agg(F.coalesce(F.sum(flag.cast("int")), F.lit(0)).alias("n")).first()["n"]
         return time.perf_counter() - began, hits
 
+    timed(F.size("_w") < 0)  # compiles what the passes share
     base, _ = timed(F.size("_w") < 0)
-    found = {r.name: timed(r.fails()) for r in rules}
+    found = {r.name: timed(r.fails(Parts())) for r in rules}
     scratch.drop()
     return sorted(rules, key=lambda r: -(found[r.name][1] + 0.5) / max(found[r.name][0] - base, 1e-3))
 
 
-def cascade(rules: list[Rule]) -> Column:
-    """Name of the first rule, in the given order, that rejects the document; null: kept."""
+def cascade(rules: list[Rule], parts: Parts = Parts()) -> Column:  # noqa: B008
+    """Name of the first rule, in the given order, that rejects the document; null: kept. Rules behind it are not
+    computed."""
     out: Column | None = None
     for r in rules:
-        out = F.when(r.fails(), r.name) if out is None else out.when(r.fails(), r.name)
+        out = F.when(r.fails(parts), r.name) if out is None else out.when(r.fails(parts), r.name)
     return F.lit(None).cast("string") if out is None else out
 
 
@@ -156,29 +185,21 @@ def filter_documents(docs: DataFrame, rules: list[Rule] | None = None, sample_ro
     by min_words; helper columns are local to a struct, so clashing names in the input survive."""
     rules = order_rules(docs, rules or production_rules(), sample_rows)
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("text"))
-    kept = with_windows(with_parts(carried)).filter(cascade(rules).isNull())
+    kept = with_words(carried).filter(cascade(rules).isNull())
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def quality_report(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
     """Per document: the base counts, base_failed, and kept (the cascade's verdict).
 
-    A null text counts as one without words. Base counts are always computed, as they are returned;
-    the verdict uses them where it can and the remaining rules run behind them in cascade order.
+    A null text counts as one without words. Base counts are always computed, as they are returned; the verdict
+    reads their columns, and of the other rules those that the cascade reaches are computed.
     """
     rules = order_rules(docs, rules or production_rules(), sample_rows)
-    parts = with_windows(with_parts(docs.select("doc_id", "text")))
-    counted = parts.withColumns(
-        {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": word_chars(),
-            "n_symbols": n_symbols(),
-            "n_dup_lines": n_dup_lines(),
-            "n_repeat_words": n_repeat_words(),
-        }
-    )
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    verdict = F.when(base, False).otherwise(cascade([r for r in rules if r.name not in ("min_words", "repeats")]).isNull())
-    return counted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), verdict.alias("kept")
-    )
+    p, names = Parts(), ("n_words", "word_chars", "n_symbols", "lines", "n_repeat_words")
+    base = F.struct(*[getattr(p, n)().alias(n) for n in names])
+    counted = with_words(docs.select("doc_id", "text")).withColumn("_counts", once(base))
+    counted = counted.select("doc_id", "_text", "_w", *[F.col(f"_counts.{n}").alias(n) for n in names])
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    verdict = F.when(failed, False).otherwise(cascade([r for r in rules if r.name not in ("min_words", "repeats")], Parts(names)).isNull())
+    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", F.col("lines.dup").alias("n_dup_lines"), "n_repeat_words", failed.alias("base_failed"), verdict.alias("kept"))

@@ -1,7 +1,11 @@
+import random
 import re
 import zlib
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from tarnlake.llm import quality, sharding
 
 CASES = [
@@ -56,12 +60,35 @@ def test_quality_filter_keeps_columns_and_verdicts(spark):
 
 def test_rule_order_does_not_change_verdicts(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    parts = quality.with_windows(quality.with_parts(df))
+    parts = quality.with_words(df)
     rules = quality.production_rules()
     a = parts.filter(quality.cascade(rules).isNull()).count()
     assert a == parts.filter(quality.cascade(rules[::-1]).isNull()).count()
 
 
+def test_rules_behind_a_rejection_are_not_computed(spark):
+    """The costly rule fails loudly on every text that an earlier rule rejects, and is reached by the others only."""
+    df = quality.with_words(spark.createDataFrame(CASES, "doc_id long, text string"))
+    rules = {r.name: r for r in quality.production_rules()}
+    loud = quality.Rule("loud", lambda p: F.when(p.n_words() < 50, F.raise_error(F.lit("reached")).cast("boolean")).otherwise(rules["repeats"].fails(p)))
+    found = Counter(r[0] for r in df.select(quality.cascade([rules["min_words"], loud])).collect())
+    assert found == {"min_words": 6, "loud": 2, None: 3}
+    with pytest.raises(Exception, match="reached"):
+        df.select(quality.cascade([loud, rules["min_words"]])).collect()
+
+
+def test_repeats_rule_equals_its_definition(spark):
+    """The short way past the windows never changes the verdict, at any share."""
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choice("abcdefghijklmnopqrstuvwxyz"[: rnd.choice([2, 4, 9, 26])]) for _ in range(rnd.randint(0, 30))) for _ in range(300)]
+    texts += ["a b c d e f " * 2, "a b c " * 2 + "d e f g h i", "x x x", "x x x x", ""]
+    df = quality.with_words(spark.createDataFrame([(t,) for t in texts], "text string"))
+    for pct in (0, 20, 50, 90):
+        for r in df.select("text", quality.Parts().repeats_over(pct).alias("f")).collect():
+            n, *_, rep = brute(r.text)
+            assert r.f == (100 * rep > pct * n), (pct, r.text)
+
+
 def test_quality_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert quality.quality_report(df).count() == 0
