@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that arrives in fewer parts than there are cores is dealt to all of them; any larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def build_session(app: str = "tarnlake", master: str | None = None, shuffle_partitions: int | None = None, **extra: str) -> SparkSession:
     """A session in UTC with adaptive planning; ``extra`` settings win."""
     conf = {
