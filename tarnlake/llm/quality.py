@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 
 from tarnlake.llm.scratch import Scratch
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, SPACE_RUN = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    inside = F.btrim(text, F.lit(SPACES))
+    return F.when(inside == "", F.array().cast("array<string>")).otherwise(F.split(inside, SPACE_RUN))
 
 
 def lines_with_words(text: Column) -> Column:

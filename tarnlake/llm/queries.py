@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnlake.llm import bpe, html, neardup, packing, quality, sharding, tokenfiles, topk, toxicity, warc
+from tarnlake.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,6 @@
 """Intermediate tables in the folder that driver and executors share.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-(single-process tests) a temporary folder of this machine is used and the setting is made.
+The folder is the one the cluster names in ``spark.checkpoint.dir`` (tarnlake.session.shared_dir).
 Tables are written through Spark's commit protocol, so a lost executor costs its open tasks only.
 """
 
@@ -9,19 +8,11 @@ from __future__ import annotations
 
 import atexit
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder's URI without a trailing slash."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tarnlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from tarnlake.session import shared_dir
 
 
 def _delete(spark: SparkSession, uri: str) -> None:
