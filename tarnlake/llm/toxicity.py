@@ -33,11 +33,12 @@ THRESHOLD = 0.3
 
 @dataclass(frozen=True)
 class Bounds:
-    """What reaches the driver at most: texts of up to ``text_bytes`` each, in these numbers."""
+    """What the fit takes at most: so many texts of each side, whole, until ``side_bytes`` of a side are full, and so
+    many features. Which texts goes by their hash, not by their length; one that alone is over the bytes is left out."""
 
     positives: int = 3000
     unlabelled: int = 6000
-    text_bytes: int = 16_384
+    side_bytes: int = 32 << 20
     features: int = 512
 
 
@@ -121,24 +122,39 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def sample_texts(docs: DataFrame, chosen: DataFrame, most: int, most_bytes: int) -> list[str]:
+    """Distinct texts of the chosen ids in order of their hash, up to both bounds. Their sizes come first, so that no
+    more than ``most_bytes`` of texts reach the driver."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    keyed = rows.select(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"), "text")
+    sizes = keyed.groupBy("h").agg(F.max("n").alias("n")).orderBy("h").limit(most).toArrow()
+    n = sizes["n"].to_numpy()
+    n = np.where(n > most_bytes, 0, n)
+    fits = sizes.filter(pa.array((n > 0) & (np.cumsum(n) <= most_bytes)))["h"].to_pylist()
+    if not fits:
+        return []
+    wanted = docs.sparkSession.createDataFrame([(h,) for h in fits], "h long")  # at most ``most`` rows
+    found = keyed.join(F.broadcast(wanted), "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h")
+    return found.select("text").toArrow()["text"].to_pylist()
+
+
 def train(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> Model:  # noqa: B008
-    """Fit on the bounded sample. Without any toxic label the model gives every text the prior (at least 0.001)."""
+    """Fit on the bounded sample; the prior comes from all labelled rows outside the held-out part.
+
+    Without any toxic label, or without texts of either side, the model gives every text the prior (at least 0.001);
+    so it does for empty tables. Null and empty texts are texts without features; of rows that repeat an id and a text
+    one counts; of labels that repeat an id the largest does.
+    """
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = known.agg(F.avg(F.col("toxic").cast("double")).alias("prior")).first()
     prior = min(0.9, max(0.001, total["prior"] or 0.0))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    fits = docs.select(F.col("doc_id").alias("doc_id"), F.octet_length("text").alias("n")).filter(~held_out(F.col("doc_id")) & (F.col("n") <= bounds.text_bytes))
-    ids = fits.select("doc_id").distinct()
+    ids = docs.select("doc_id").filter(~held_out(F.col("doc_id"))).distinct()
     toxic = ids.join(known.filter("toxic = 1"), "doc_id").select("doc_id").orderBy(*by_hash).limit(bounds.positives)
     drawn = ids.orderBy(F.xxhash64("doc_id", F.lit("u")), "doc_id").limit(bounds.unlabelled)
     # the two lists hold at most positives + unlabelled ids
     chosen = toxic.withColumn("side", F.lit("p")).unionByName(drawn.withColumn("side", F.lit("u")))
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= bounds.text_bytes).join(F.broadcast(chosen), "doc_id").select("side", "doc_id", "text")
-    texts: dict[str, list[str]] = {}
-    for side, most in (("p", bounds.positives), ("u", bounds.unlabelled)):
-        # a row counts once however often it is repeated, and each side has its own limit
-        own = rows.filter(F.col("side") == side).distinct().orderBy(F.xxhash64("text"), "text").limit(most)
-        texts[side] = own.select("text").toArrow()["text"].to_pylist()
+    texts = {side: sample_texts(docs, chosen.filter(F.col("side") == side), most, bounds.side_bytes) for side, most in (("p", bounds.positives), ("u", bounds.unlabelled))}
     if not texts["p"] or not texts["u"]:
         return Model(float(np.log(prior / (1 - prior))))
     names = select_features(texts["p"], texts["u"], bounds.features)
@@ -187,13 +203,15 @@ def score_documents(docs: DataFrame, model: Model, column: str = "score") -> Dat
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:  # noqa: B008
+    """doc_id, held_out, score, predicted for every row, repeated ones too; whole texts, null ones as empty. An empty
+    table gives no rows; other columns take no part."""
     model = train(docs, labels, bounds)
     scored = score_documents(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:  # noqa: B008
-    """The rows scored below the threshold, with the columns they had."""
+    """The rows scored below the threshold, with the columns they had; cases are those of ``toxicity_report``."""
     column = "score"
     while column in docs.columns:
         column += "_"
