@@ -13,6 +13,7 @@ import json
 import os
 import re
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 
@@ -85,7 +86,12 @@ class ByteEncoder:
         for token, rank in merge_rank.items():
             self._to_id[rank] = ranks[token]
         self._fast = tiktoken.Encoding("byte", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merge_rank, special_tokens={})
-        self._tok = _library(path)
+        self._path = path
+
+    @cached_property
+    def _tok(self):
+        """The library's own tokenizer, loaded by the first text that needs it."""
+        return _library(self._path)
 
     def whole(self, text: str) -> bytes:
         return little(self._tok.encode(text, add_special_tokens=False).ids)
@@ -121,9 +127,13 @@ class WordEncoder:
             self._id_bytes[rank[raw(token)]] = little([i])
         self._fast = tiktoken.Encoding("word", pat_str=rf"[^{MARK}]*{MARK}", mergeable_ranks=rank, special_tokens={})
         self._pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # the file's own pattern
-        self._tok = _library(path)
+        self._path = path
         self._cache = ChunkCache(self._chunk, cap)
 
+    @cached_property
+    def _tok(self):
+        return _library(self._path)
+
     def whole(self, text: str) -> bytes:
         return little(self._tok.encode(text, add_special_tokens=False).ids)
 
