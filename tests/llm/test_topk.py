@@ -23,7 +23,8 @@ def check(spark, rows, **more):
 
 def test_topk_small_blocks(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
-    check(spark, rows, query_block=7, block=90)
+    check(spark, rows, block=90, together=1)
+    check(spark, rows, block=90, most_ranges=0)
 
 
 def test_topk_odd_rows(spark):
@@ -37,3 +38,30 @@ def test_topk_odd_rows(spark):
 
 def test_large_components_stay_exact(spark):
     check(spark, [(k, [3e5 + k, -2e5 * k, 1e6]) for k in range(30)])
+    check(spark, [(0, [0.5, 0.25]), (1, [1e9, 0.0]), (2, [4e9, 0.0]), (3, [3e9, 5.0]), (20, [1e-3, 1e-3])])
+    check(spark, [(0, [1.0, 3.0])] + [(k, [2.0**45 + 2.0**24 * k, float(-k)]) for k in range(1, 20)])  # products beyond 2**53
+
+
+def test_queries_skip_blocks_that_cannot_reach_their_floor(spark):
+    """Clusters far apart: a query meets its own block and hardly another; nothing is lost."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8)) * 50
+    rows = [(k, [float(x) for x in np.float32(centres[k % 12] + rng.normal(size=8))]) for k in range(1200)]
+    check(spark, rows, block=100)
+    ints = np.floor(64 * np.array([e for _, e in rows]))
+    pivots = topk.choose_pivots(ints[:256], 32)
+    dist = np.sqrt(((ints[:, None] - pivots[None]) ** 2).sum(2))
+    cell, norm2 = dist.argmin(1), (ints**2).sum(1)
+    cells = np.unique(cell)
+    ranges = {"cb": cells, "low": np.stack([dist[cell == c].min(0) for c in cells]), "high": np.stack([dist[cell == c].max(0) for c in cells]), "norm2": np.array([norm2[cell == c].max() for c in cells])}
+    sent = 0
+    for q in range(0, 1200, 20):
+        scores = ints @ ints[q]
+        scores[q] = -np.inf
+        own = np.sort(scores[cell == cell[q]])[-20:]
+        floor = own[0] if len(own) == 20 else -np.inf
+        to = set(topk.blocks_to_meet(dist[q], norm2[q], floor, cell[q], ranges).tolist())
+        sent += len(to)
+        best = np.argsort(-scores)[:20]
+        assert {c for c in cell[best]} <= to | {cell[q]}
+    assert sent < 0.7 * 60 * (len(cells) - 1)
