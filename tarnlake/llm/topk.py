@@ -136,6 +136,21 @@ def block_topk(q: dict, c: dict, k: int, first: int = 256) -> tuple[np.ndarray,
     return tuple(np.concatenate(v) if v else np.empty(0, np.int64) for v in (out_q, out_c, out_s))  # type: ignore[return-value]
 
 
+def deal_cells(cells: dict[int, int], block: int) -> tuple[dict[int, int], dict[int, int], int]:
+    """(first block of each cell, its number of blocks, all blocks): a cell over ``block`` rows has several, which its rows
+    are dealt to by hash; smaller ones share a block while they fit, as each block costs every group of queries."""
+    first, blocks, n_blocks, room = {}, {}, 0, 0
+    for cell, n in sorted(cells.items()):
+        if n > room:
+            blocks[cell] = -(-n // block)
+            first[cell], n_blocks = n_blocks, n_blocks + blocks[cell]
+            room = block - n if n <= block else 0
+        else:
+            first[cell], blocks[cell] = n_blocks - 1, 1
+            room -= n
+    return first, blocks, n_blocks
+
+
 def block_ranges(dealt: DataFrame, pivots: int) -> dict[str, np.ndarray]:
     """cb, low and high (distances to each pivot) and norm2 (largest) of each block."""
     ends = [f(F.get("dist", F.lit(i))).alias(f"{n}{i}") for n, f in (("low", F.min), ("high", F.max)) for i in range(pivots)]
@@ -168,12 +183,9 @@ def search(df: DataFrame, k: int = 20, every: int = 20, pivots: int = 32, block:
     table = scratch.table(pivot_table(vectors, chosen), "pivots")
     is_query = (F.col("vec_id") % every == 0) & (F.col("vec_id") != _LAST)
 
-    # a row for each pivot; a large cell has several blocks, dealt by hash
+    # a row for each pivot
     cells = {r["cell"]: r["n"] for r in table.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = {c: -(-n // block) for c, n in sorted(cells.items())}
-    first, n_blocks = {}, 0
-    for c, m in blocks.items():
-        first[c], n_blocks = n_blocks, n_blocks + m
+    first, blocks, n_blocks = deal_cells(cells, block)
     at = lambda of: F.element_at(F.create_map(*[F.lit(x) for c, v in of.items() for x in (c, v)]), F.col("cell")) if of else F.lit(0)
     dealt = table.withColumn("cb", (at(first) + F.pmod(F.xxhash64("row"), at(blocks))).cast("int")).withColumn("asks", is_query)
     dealt = scratch.table(dealt, "dealt", keep=True)

@@ -65,3 +65,9 @@ def test_queries_skip_blocks_that_cannot_reach_their_floor(spark):
         best = np.argsort(-scores)[:20]
         assert {c for c in cell[best]} <= to | {cell[q]}
     assert sent < 0.7 * 60 * (len(cells) - 1)
+
+
+def test_cells_share_blocks_while_they_fit():
+    first, blocks, n = topk.deal_cells({0: 40, 1: 50, 2: 20, 3: 250, 4: 10, 5: 90}, 100)
+    assert (first, blocks, n) == ({0: 0, 1: 0, 2: 1, 3: 2, 4: 5, 5: 5}, {0: 1, 1: 1, 2: 1, 3: 3, 4: 1, 5: 1}, 6)
+    assert topk.deal_cells({}, 100) == ({}, {}, 0)
