@@ -103,3 +103,52 @@ def test_token_round_trip(spark, sf):
     got = sorted(map(tuple, tokenfiles.token_round_trip(docs, path("byte_bpe_50k.json")).collect()), key=lambda r: r[1])
     assert got == want
     assert tokenfiles.token_round_trip(docs.limit(0), path("byte_bpe_50k.json")).count() == 0
+
+
+class Sink:
+    """A stream that keeps nothing."""
+
+    def write(self, data):
+        pass
+
+    def close(self):
+        pass
+
+
+def test_segments(tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "SEGMENT_DOCS", 7)
+    monkeypatch.setattr(tokenfiles, "SEGMENT_IDS", 2000)
+    rng = np.random.default_rng(3)
+    w, want, at = tokenfiles.TokenWriter(open(tmp_path / "a", "wb")), [], 0
+    for k in range(100):
+        ids = rng.integers(0, 70_000, [0, 3, 300, 5000][k % 4] if k % 10 else 1).astype("<u4").tobytes()
+        w.add(k, ids)
+        want.append((k, at, len(ids) // 4, zlib.crc32(ids)))
+        at += len(ids) // 4
+    assert w.close() == (100, at)
+    assert list(tokenfiles.read_documents(f"file://{tmp_path}/a")) == want
+
+
+def test_writer_memory_does_not_grow():
+    import tracemalloc
+
+    w, ids, held = tokenfiles.TokenWriter(Sink()), little([5, 7, 0]), []
+    tracemalloc.start()
+    for _ in range(3):
+        for k in range(4 * tokenfiles.SEGMENT_DOCS):
+            w.add(k, ids)
+        held.append(tracemalloc.get_traced_memory()[0])
+        tracemalloc.reset_peak()
+    tracemalloc.stop()
+    assert held[-1] - held[0] < 100_000
+
+
+def test_one_id_on_most_rows_and_many_files(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.selectExpr("7L as doc_id", "text"))
+    tok = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    want = sorted((r.doc_id, len(ids), zlib.crc32(little(ids))) for r in docs.collect() for ids in [ids_of(tok, r.text, 0)])
+    for per_file in (1 << 29, 3000):
+        got = sorted(map(tuple, tokenfiles.token_round_trip(docs, path("byte_bpe_50k.json"), 0, per_file).collect()), key=lambda r: r[1])
+        assert [d for d, *_ in got] == [d for d, *_ in want] and sorted((d, n, c) for d, _, n, c in got) == want
+        assert [s for _, s, _, _ in got] == np.cumsum([0] + [n for _, _, n, _ in got])[:-1].tolist()
