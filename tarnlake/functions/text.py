@@ -79,6 +79,11 @@ def sanitize(c: Column, max_length: int = 2000, check_injection: bool = True) ->
     return py_strip(F.when(kind == "", clean).otherwise(F.concat(F.lit("[FLAGGED:"), kind, F.lit("] "), clean)))
 
 
+def message_error(c: Column) -> Column:
+    """Why a request's message is refused: nothing is left of it once sanitized. Null if it is accepted."""
+    return F.when(sanitize(c) == "", "Message is empty or invalid.")
+
+
 def strip_json_fence(c: Column) -> Column:
     """The inside of a text that is one fenced block, else the stripped text."""
     text = py_strip(c)

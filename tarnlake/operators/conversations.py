@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnlake.operators.numbering import number_within
+
 
 def nest(df: DataFrame) -> DataFrame:
-    """conv_id, title (first message, 48 characters), messages in order of turn."""
+    """conv_id, title (first message, 48 characters), messages in order of turn. A conversation is one value here, which
+    bounds it to what a row can hold (2 GB); the functions that give a row for each message have no such bound."""
     messages = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     return df.groupBy("conv_id").agg(F.substring(F.min_by("text", "turn"), 1, 48).alias("title"), messages.alias("messages"))
 
@@ -32,9 +35,8 @@ def last_message(df: DataFrame, role: str) -> DataFrame:
 
 
 def new_messages(df: DataFrame, known: DataFrame) -> DataFrame:
-    """Messages after the first ``n_known`` of each conversation, without system ones."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = df.withColumn("position", F.row_number().over(w).cast("long")).join(known, "conv_id", "left")
+    """Messages after the first ``n_known`` of each conversation, without system ones. Conversations may be of any size."""
+    rows = number_within(df.select("conv_id", "turn", "role"), "conv_id", ("turn",), "position").join(known, "conv_id", "left")
     return rows.filter((F.col("position") > F.coalesce("n_known", F.lit(0))) & (F.col("role") != "system")).select("conv_id", "turn", "position", "role")
 
 

@@ -38,6 +38,16 @@ def missing_after(result: DataFrame, batch: DataFrame, key: list[str] | None = N
     return batch.select(*key).join(result.select(*key), key, "left_anti")
 
 
+def sync_turns(existing: DataFrame, batch: DataFrame, path: str, unique: bool = True) -> dict[str, int]:
+    """Write ``existing`` with ``batch`` to a new ``path``, read it back and count the batch's rows as success or fail.
+
+    ``unique`` tells that the target keeps one row for each key; a target without that takes the batch as plain inserts.
+    """
+    (upsert(existing, batch) if unique else existing.unionByName(batch)).write.mode("errorifexists").parquet(path)
+    missing = missing_after(batch.sparkSession.read.parquet(path), batch).count()
+    return {"success": batch.count() - missing, "fail": missing}
+
+
 def violations(df: DataFrame) -> DataFrame:
     """rule, session_id, turn_index of every row that breaks a constraint; a null passes comparisons, as in SQL."""
     both = F.col("is_clarification") & F.col("is_final_answer")
@@ -50,17 +60,22 @@ def violations(df: DataFrame) -> DataFrame:
 
 
 def pair_turns(df: DataFrame) -> DataFrame:
-    """Each user message with the next message of its conversation, if the assistant's."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    lead = lambda c: F.lead(c).over(w)
-    rows = df.withColumns({"next_role": lead("role"), "next_text": lead("text")}).filter(F.col("role") == "user")
-    return rows.select("conv_id", "turn", F.col("text").alias("user_message"), F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("assistant_message"))
+    """Each user message with the next message of its conversation, if the assistant's.
+
+    Positions are numbered over ranges and neighbours meet by (conversation, position), so that a conversation of any size
+    is shared among tasks.
+    """
+    rows = number_within(df.select("conv_id", "turn", "role", "text"), "conv_id", ("turn",), "position")
+    answers = rows.filter("role = 'assistant'").select(F.col("conv_id").alias("_conv"), (F.col("position") - 1).alias("_before"), F.col("text").alias("assistant_message"))
+    asked = rows.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("user_message"), "position")
+    joined = asked.join(answers, (F.col("position") == F.col("_before")) & F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    return joined.select("conv_id", "turn", "user_message", "assistant_message")
 
 
 def running_turns(df: DataFrame) -> DataFrame:
-    """User turns so far in each conversation."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return df.select("conv_id", "turn", "role", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w).alias("user_turns"))
+    """User turns so far in each conversation, which may be of any size."""
+    asked = F.when(F.col("role") == "user", 1).otherwise(0)
+    return number_within(df.select("conv_id", "turn", "role"), "conv_id", ("turn",), "user_turns", weight=asked)
 
 
 def latency_ms(start: Column, end: Column) -> Column:

@@ -113,6 +113,13 @@ def sanitize_documents(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.sanitize(F.col("text")).alias("clean"))
 
 
+@query("message_check", with_views("rl", "SELECT id AS event_id, CASE WHEN k % 4 <> 2 THEN 'Message is empty or invalid.' END AS error FROM rl"))
+def message_check(spark, sf_dir):
+    k = F.col("k")
+    message = F.when(k % 4 == 0, " \t\n").when(k % 4 == 1, "\x07 \x85").when(k % 4 == 2, F.col("props"))
+    return events(spark, sf_dir).select("event_id", text.message_error(message).alias("error"))
+
+
 def _fenced(k):
     return F.when(k % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(k % 3 == 1, F.concat(F.lit(" ```"), "props", F.lit("``` "))).otherwise(F.concat(F.lit("x ```"), "props", F.lit("```")))
 

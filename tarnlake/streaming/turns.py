@@ -34,7 +34,8 @@ def number_turns(stream: DataFrame) -> DataFrame:
 def upsert_sink(numbered: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Upserts each micro-batch by (session_id, turn_index), so that a replayed batch changes nothing.
 
-    The table is a series of versions, one folder for each batch; the newest is the table.
+    The table is a series of versions, one folder for each batch; the newest is the table. A replay of a batch reads the
+    version before it, so that one stays; older ones are deleted. Each batch rewrites the table once.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -43,5 +44,8 @@ def upsert_sink(numbered: DataFrame, path: str, checkpoint: str) -> StreamingQue
         if batch_id > 0:
             new = upsert(spark.read.parquet(f"{path}/v{batch_id - 1}"), batch, KEY)
         new.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        if batch_id > 1:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{batch_id - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return numbered.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,7 +7,7 @@ import pytest
 
 from tarnlake.operators import conversations, corpus, logs, retrieval, turns
 from tarnlake.operators.numbering import number_within
-from tarnlake.sources import chunk_cache
+from tarnlake.sources import chunk_cache, stores
 from tarnlake.streaming import turns as stream_turns
 
 LOG = "id long, session_id string, created_at timestamp_ntz, intent string, language string, latency_ms long, user_message string, keywords array<string>"
@@ -192,3 +192,39 @@ def test_stream_numbering(spark, tmp_path):
     last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name[1:]))
     got = spark.read.parquet(str(last)).groupBy("session_id").agg(F.sort_array(F.collect_list("turn_index")).alias("t")).collect()
     assert {r.session_id: r.t for r in got} == {"a": [1, 2, 3], "b": [1], "c": [1]}
+    assert sum(1 for _ in (tmp_path / "out").iterdir()) <= 2  # the table and the version that a replay would read
+
+
+def test_one_conversation_over_many_ranges(spark):
+    rnd = random.Random(9)
+    kinds = ["user", "assistant", "system", None]
+    rows = [(c, t, rnd.choice(kinds), f"{c}/{t}") for c, n in ((1, 900), (2, 1), (3, 40), (None, 60)) for t in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    at = {(c, t): (role, text) for c, t, role, text in rows}
+    pairs = sorted(((c, t, x, at[c, t + 1][1] if at.get((c, t + 1), ("",))[0] == "assistant" else None) for c, t, role, x in rows if role == "user"), key=str)
+    assert sorted(map(tuple, turns.pair_turns(df).collect()), key=str) == pairs
+    asked = {(c, t): sum(1 for u in range(t + 1) if at[c, u][0] == "user") for c, t, _, _ in rows}
+    assert {(r.conv_id, r.turn): r.user_turns for r in turns.running_turns(df).collect()} == asked
+    known = spark.createDataFrame([(1, 890)], "conv_id long, n_known long")
+    got = sorted(((r.conv_id, r.turn, r.position) for r in conversations.new_messages(df, known).collect()), key=str)
+    assert got == sorted(((c, t, t + 1) for c, t, role, _ in rows if role not in ("system", None) and (c != 1 or t >= 890)), key=str)
+
+
+def test_sync_counts(spark, tmp_path):
+    old = spark.createDataFrame([("a", 1, 0), ("a", 2, 0)], "session_id string, turn_index long, v long")
+    batch = spark.createDataFrame([("a", 2, 1), ("b", 1, 1)], old.schema)
+    assert turns.sync_turns(old, batch, f"{tmp_path}/x") == {"success": 2, "fail": 0}
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/x").collect())) == [("a", 1, 0), ("a", 2, 1), ("b", 1, 1)]
+    assert turns.sync_turns(old, batch, f"{tmp_path}/y", unique=False) == {"success": 2, "fail": 0}
+    assert spark.read.parquet(f"{tmp_path}/y").count() == 4
+    lost = spark.createDataFrame([(None, 1, 1)], old.schema)
+    assert turns.sync_turns(old, lost, f"{tmp_path}/z") == {"success": 0, "fail": 1}  # a key that cannot be found again
+
+
+def test_newest_first_and_vector_index(spark):
+    df = spark.createDataFrame([(1, 5), (2, 9), (3, 9)], "conv_id long, created_at long")
+    assert [r.conv_id for r in conversations.newest_first(df).collect()] == [3, 2, 1]
+    assert [r.conv_id for r in conversations.newest_first(df, without=3).collect()] == [2, 1]
+    chunks = spark.createDataFrame([(0, "a"), (1, "b")], "chunk_index long, content string")
+    vectors = spark.createDataFrame([(1, [0.5])], "chunk_index long, embedding array<float>")
+    assert [tuple(r) for r in stores.vector_index(chunks, vectors).collect()] == [(1, "b", [0.5])]
