@@ -1,7 +1,11 @@
-"""Settings: every number that changes results, with its default, and typed reading from a mapping."""
+"""Settings: the numbers that change results, with their defaults, read once from TARNLAKE_* of the environment.
+
+``SETTINGS`` gives the default arguments of the operators; an argument given to a call wins.
+"""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
@@ -53,3 +57,6 @@ def _typed(text: str, default: object) -> object:
 
 def flag(text: str | None, default: bool = False) -> bool:
     return default if text is None or not text.strip() else text.strip().lower() in ("1", "true", "yes", "on")
+
+
+SETTINGS = Settings.read(os.environ)

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from functools import wraps
 from typing import TypeVar
 
+from tarnlake.config import SETTINGS
+
 T = TypeVar("T")
 
 
-def retry(attempts: int = 3, delay: float = 1.0, on: tuple[type[BaseException], ...] = (Exception,), sleep: Callable[[float], None] = time.sleep):
+def retry(attempts: int = SETTINGS.retry_attempts, delay: float = SETTINGS.retry_delay, on: tuple[type[BaseException], ...] = (Exception,), sleep: Callable[[float], None] = time.sleep):
     """Call again after ``delay``, which doubles each time; the last error is raised."""
 
     def wrap(f: Callable[..., T]) -> Callable[..., T]:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarnlake.config import SETTINGS
 from tarnlake.functions.lexicon import INJECTION_PATTERNS, INJECTION_TOKENS, MESSAGES
 
 SPACE = r"[\s\x1c-\x1f]"  # with (?U): the white space that Python's str.split knows
@@ -67,7 +68,7 @@ def contains_any(c: Column, terms: tuple[str, ...]) -> Column:
     return bind(F.lower(F.coalesce(c, F.lit(""))), lambda t: any_of(t, terms))
 
 
-def sanitize(c: Column, max_length: int = 2000, check_injection: bool = True) -> Column:
+def sanitize(c: Column, max_length: int = SETTINGS.max_input_length, check_injection: bool = True) -> Column:
     """Cut to ``max_length`` characters, drop control characters, mark injections, strip. Null is empty.
 
     The mark is added after the cut, so a marked text may be longer.
@@ -79,9 +80,9 @@ def sanitize(c: Column, max_length: int = 2000, check_injection: bool = True) ->
     return py_strip(F.when(kind == "", clean).otherwise(F.concat(F.lit("[FLAGGED:"), kind, F.lit("] "), clean)))
 
 
-def message_error(c: Column) -> Column:
-    """Why a request's message is refused: nothing is left of it once sanitized. Null if it is accepted."""
-    return F.when(sanitize(c) == "", "Message is empty or invalid.")
+def message_error(clean: Column) -> Column:
+    """Why a request is refused: nothing is left of its sanitized message. Null if it is accepted."""
+    return F.when(clean == "", "Message is empty or invalid.")
 
 
 def strip_json_fence(c: Column) -> Column:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnlake.config import SETTINGS
 from tarnlake.functions.text import filled, first_filled, py_strip
 
 COLUMNS = ["doc_id", "markdown", "source_url", "source_pdf", "title", "site"]
@@ -33,7 +34,7 @@ def scan_counts(df: DataFrame) -> DataFrame:
     return df.agg(F.count_if(~blank).alias("loaded"), F.count_if(blank).alias("skipped"))
 
 
-def chunk_fixed(docs: DataFrame, size: int = 200, overlap: int = 50) -> DataFrame:
+def chunk_fixed(docs: DataFrame, size: int = SETTINGS.chunk_size, overlap: int = SETTINGS.chunk_overlap) -> DataFrame:
     """Windows of ``size`` characters every ``size - overlap``, while they add something new."""
     step = size - overlap
     n = F.length("page_content")
@@ -57,7 +58,7 @@ def number_chunks(chunks: DataFrame, parts: int | None = None, whole: bool = Fal
     return by_doc.withColumn("_local", local).join(firsts, "_id").withColumn("chunk_index", F.col("_first") + F.col("_local")).drop("_id", "_local", "_first")
 
 
-def chunk_counts(docs: DataFrame, size: int = 200, overlap: int = 50) -> DataFrame:
+def chunk_counts(docs: DataFrame, size: int = SETTINGS.chunk_size, overlap: int = SETTINGS.chunk_overlap) -> DataFrame:
     """(_id, _n): how many chunks ``chunk_fixed`` cuts of each document, without cutting them."""
     step = size - overlap
     n = F.greatest(F.lit(1), F.ceil((F.length("page_content") - overlap) / step).cast("int"))
@@ -82,7 +83,7 @@ def number_hits(hits: DataFrame, firsts: DataFrame) -> DataFrame:
     return found.withColumn("chunk_index", F.col("_first") + F.col("part")).drop("_id", "_n", "_first", "num", "part")
 
 
-def chunks_at(docs: DataFrame, firsts: DataFrame, numbers: DataFrame, size: int = 200, overlap: int = 50) -> DataFrame:
+def chunks_at(docs: DataFrame, firsts: DataFrame, numbers: DataFrame, size: int = SETTINGS.chunk_size, overlap: int = SETTINGS.chunk_overlap) -> DataFrame:
     """The chunks of the few chunk_index in ``numbers``, with their other columns: only their documents are cut."""
     at = (F.col("chunk_index") >= F.col("_first")) & (F.col("chunk_index") < F.col("_first") + F.col("_n"))
     places = firsts.join(F.broadcast(numbers), at).select(F.col("_id"), (F.col("chunk_index") - F.col("_first")).alias("part"), *numbers.columns)
@@ -91,7 +92,7 @@ def chunks_at(docs: DataFrame, firsts: DataFrame, numbers: DataFrame, size: int
     return own.join(F.broadcast(places), "_id").withColumn("content", piece).select("doc_id", "source_reference", "part", "content", *numbers.columns)
 
 
-def split_recursive(text: str, size: int = 200, overlap: int = 50, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+def split_recursive(text: str, size: int = SETTINGS.chunk_size, overlap: int = SETTINGS.chunk_overlap, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Pieces of at most ``size`` characters: cut at the first separator that occurs, keep it with its piece, cut
     longer pieces at the next one, merge neighbours up to ``size`` and carry at most ``overlap`` over."""
     out: list[str] = []
@@ -118,7 +119,7 @@ def split_pieces(text: str, size: int, separators: tuple[str, ...]) -> list[str]
     return [q for p in pieces for q in ([p] if len(p) <= size else split_pieces(p, size, separators[separators.index(sep) + 1 :]))]
 
 
-def chunk_recursive(docs: DataFrame, size: int = 200, overlap: int = 50) -> DataFrame:
+def chunk_recursive(docs: DataFrame, size: int = SETTINGS.chunk_size, overlap: int = SETTINGS.chunk_overlap) -> DataFrame:
     """The same columns as ``chunk_fixed``; Python in Arrow batches, as merging carries state along a text."""
 
     @F.pandas_udf("array<string>")

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.functions.text import sanitize
+from tarnlake.config import SETTINGS
+from tarnlake.functions.text import message_error, sanitize
 
 ALL = (None, "", "All Intents", "All Languages")
 
@@ -47,13 +48,13 @@ def check_page(page: int, page_size: int) -> None:
         raise ValueError("page starts at 1; page_size lies between 1 and 100")
 
 
-def page_of(df: DataFrame, page: int = 1, page_size: int = 25) -> DataFrame:
+def page_of(df: DataFrame, page: int = 1, page_size: int = SETTINGS.page_size) -> DataFrame:
     """One page, newest first: a top-k, never a global sort."""
     check_page(page, page_size)
     return df.orderBy(*newest()).offset((page - 1) * page_size).limit(page_size)
 
 
-def page_meta(df: DataFrame, page: int = 1, page_size: int = 25) -> DataFrame:
+def page_meta(df: DataFrame, page: int = 1, page_size: int = SETTINGS.page_size) -> DataFrame:
     """total, total_pages and the range shown."""
     check_page(page, page_size)
     size = F.lit(page_size).cast("long")
@@ -69,7 +70,7 @@ def capped(df: DataFrame, cap: int | None) -> DataFrame:
     return df if cap is None else df.orderBy(*newest()).limit(cap)
 
 
-def stats(df: DataFrame, cap: int | None = 5000) -> DataFrame:
+def stats(df: DataFrame, cap: int | None = SETTINGS.stats_cap) -> DataFrame:
     """total_queries, unique_sessions, top_intent, avg_latency_ms. Blank values count as missing, a latency
     of 0 does not; equal counts go to the intent seen first, newest first."""
     rows = capped(df.select("id", "created_at", "session_id", "intent", "latency_ms"), cap)
@@ -84,31 +85,31 @@ def stats(df: DataFrame, cap: int | None = 5000) -> DataFrame:
     return totals.join(top).select("total_queries", "unique_sessions", F.coalesce("top", F.lit("N/A")).alias("top_intent"), "avg_latency_ms")
 
 
-def distribution(df: DataFrame, column: str, cap: int | None = 5000) -> DataFrame:
+def distribution(df: DataFrame, column: str, cap: int | None = SETTINGS.stats_cap) -> DataFrame:
     rows = capped(df.select("id", "created_at", column), cap)
     return rows.filter(F.nullif(column, F.lit("")).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
-def shares(df: DataFrame, column: str, cap: int | None = 5000) -> DataFrame:
+def shares(df: DataFrame, column: str, cap: int | None = SETTINGS.stats_cap) -> DataFrame:
     counts = distribution(df, column, cap)
     total = counts.agg(F.sum("n").alias("total"), F.max("n").alias("most"))  # one row
     return counts.join(F.broadcast(total)).select(column, "n", F.round(F.col("n") / F.col("total"), 6).alias("share"), (F.col("n") == F.col("most")).alias("is_largest"))
 
 
-def keyword_rows(df: DataFrame, cap: int | None = 1000) -> DataFrame:
+def keyword_rows(df: DataFrame, cap: int | None = SETTINGS.keyword_cap) -> DataFrame:
     """id, created_at, kw: lower-cased keywords without blanks, repeats kept."""
     kw = F.transform(F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: k.isNotNull() & (k != "")), F.lower)
     return capped(df.select("id", "created_at", "keywords"), cap).select("id", "created_at", kw.alias("kw"))
 
 
-def keyword_nodes(df: DataFrame, cap: int | None = 1000, top: int = 30) -> DataFrame:
+def keyword_nodes(df: DataFrame, cap: int | None = SETTINGS.keyword_cap, top: int = SETTINGS.top_keywords) -> DataFrame:
     """keyword, size of the most frequent; ties go to the keyword met first (newest row, then position)."""
     each = keyword_rows(df, cap).select("id", "created_at", F.posexplode("kw").alias("at", "keyword"))
     counted = each.groupBy("keyword").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("created_at", "id", (-F.col("at")).alias("at"))).alias("seen"))
     return counted.orderBy(F.desc("size"), F.desc("seen")).limit(top).select("keyword", "size")
 
 
-def keyword_links(df: DataFrame, cap: int | None = 1000, top: int = 30, least: int = 2) -> DataFrame:
+def keyword_links(df: DataFrame, cap: int | None = SETTINGS.keyword_cap, top: int = SETTINGS.top_keywords, least: int = SETTINGS.min_link_weight) -> DataFrame:
     """source, target, value: unordered pairs within a row, both ends among the top keywords."""
     pair = lambda x, y: F.struct(F.least(x, y).alias("source"), F.greatest(x, y).alias("target"))
     kw = F.col("kw")
@@ -141,10 +142,10 @@ def radar_scale(counts: DataFrame, name: str = "intent", count: str = "count", r
     return counts.join(F.broadcast(top)).select(name, count, F.round(F.col(count) / F.col("_most") * radius, 6).alias("radius"))
 
 
-def checked_message(message: Column, max_length: int = 2000) -> Column:
+def checked_message(message: Column, max_length: int = SETTINGS.max_input_length) -> Column:
     """The sanitized message; an error if nothing is left of it."""
     clean = sanitize(message, max_length)
-    return F.when(clean == "", F.raise_error(F.lit("Message is empty or invalid.")).cast("string")).otherwise(clean)
+    return F.when(clean == "", F.raise_error(message_error(clean)).cast("string")).otherwise(clean)
 
 
 def display(df: DataFrame) -> DataFrame:
@@ -160,7 +161,7 @@ def display(df: DataFrame) -> DataFrame:
     )
 
 
-def export_rows(df: DataFrame, cap: int = 10_000, **filters) -> DataFrame:
+def export_rows(df: DataFrame, cap: int = SETTINGS.export_cap, **filters) -> DataFrame:
     """The newest filtered rows, flat, in the order of export."""
     payload = F.struct("language", "intent", "keywords")
     return capped(filter_logs(df, **filters), cap).select(

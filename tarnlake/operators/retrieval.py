@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnlake.config import SETTINGS
 from tarnlake.functions.text import bind, first_filled, normalize, py_strip
 
 UNKNOWN = "Unknown Source"
@@ -19,7 +20,7 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(each, F.lit(0.0), lambda s, v: s + v)
 
 
-def dense_topk(vectors: DataFrame, query: list[float], k: int = 10, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+def dense_topk(vectors: DataFrame, query: list[float], k: int = SETTINGS.retrieval_k, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
     """The k rows of largest inner product (for unit vectors also the nearest), ties to the smaller key."""
     q = F.array(*[F.lit(float(x)) for x in query])
     scored = vectors.select(key, dot(F.col(vector), q).alias("score"))
@@ -33,7 +34,7 @@ def ranked(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
     return top.withColumn("score", F.round("score", 6))
 
 
-def bm25_topk(docs: DataFrame, query: str, k: int = 10, key: str | list[str] = "chunk_id", text: str = "content", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25_topk(docs: DataFrame, query: str, k: int = SETTINGS.retrieval_k, key: str | list[str] = "chunk_id", text: str = "content", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """BM25 with whitespace tokens, case kept: idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
 
     Only the query's terms are counted, in each row's own array, so no token table is shuffled: one pass
@@ -54,7 +55,7 @@ def bm25_topk(docs: DataFrame, query: str, k: int = 10, key: str | list[str] = "
     return ranked(rows.select(*keys, score.alias("score")), keys, k)
 
 
-def fuse(dense: DataFrame, sparse: DataFrame, key: str = "chunk_id", weight: float = 0.5, c: int = 60, content: str | None = None) -> DataFrame:
+def fuse(dense: DataFrame, sparse: DataFrame, key: str = "chunk_id", weight: float = SETTINGS.dense_weight, c: int = SETTINGS.rrf_c, content: str | None = None) -> DataFrame:
     """Weighted reciprocal ranks: the sum of weight / (c + rank); ties to the dense list, then the key.
 
     ``content`` names a text column of both lists: rows of one text are then one hit, under the key that came first in
@@ -106,7 +107,7 @@ def tool_error(raw: Column) -> Column:
     return bind(_fields(raw), told)
 
 
-def context_items(df: DataFrame, key: str, raw: str, most: int = 5, at: str | None = None) -> DataFrame:
+def context_items(df: DataFrame, key: str, raw: str, most: int = SETTINGS.max_context_items, at: str | None = None) -> DataFrame:
     """key, ordinal, content, source_reference, chunk_index, title, url, score: items of a tool's JSON in order, blank
     ones dropped, repeats (same source, number as text and normalized content) dropped, first ``most`` kept.
     Where a text has documents, be they null, its web results do not count. A number that is no integer is null.
@@ -144,7 +145,7 @@ def context_items(df: DataFrame, key: str, raw: str, most: int = 5, at: str | No
     return numbered.select(key, "source_reference", "ordinal", *[F.col(f"_item.{c}").alias(c) for c in ("content", "chunk_index", "title", "url", "score")])
 
 
-def citations(items: DataFrame, key: str, excerpt: int = 200) -> DataFrame:
+def citations(items: DataFrame, key: str, excerpt: int = SETTINGS.excerpt_length) -> DataFrame:
     """key, id (from 1), source, number, title, excerpt, url (null if none), score."""
     return items.select(key, F.col("ordinal").alias("id"), F.col("source_reference").alias("source"), "chunk_index", "title", py_strip(F.substring("content", 1, excerpt)).alias("excerpt"), F.nullif("url", F.lit("")).alias("url"), "score")
 
@@ -184,7 +185,7 @@ def tool_result(payload: Column, available: Column, failed: Column) -> Column:
     return F.when(failed, RETRIEVAL_FAILED).when(~available, UNAVAILABLE).otherwise(payload)
 
 
-def web_results(pages: DataFrame, hosts: tuple[str, ...], most: int = 5) -> DataFrame:
+def web_results(pages: DataFrame, hosts: tuple[str, ...] = SETTINGS.web_hosts, most: int = SETTINGS.web_results) -> DataFrame:
     """Rows on allowed hosts with defaults for missing fields; the first ``most`` by score, then URL."""
     from tarnlake.functions.text import host_allowed
 

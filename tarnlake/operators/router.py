@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.config import SETTINGS
 from tarnlake.functions.lexicon import INTENT_ALIASES, INTENTS, Lexicon
 from tarnlake.functions.text import any_of, bind, contains_any, filled, py_strip, strip_json_fence
 
@@ -211,10 +212,10 @@ def tool_for(query: Column, rag_query: Column, terms: tuple[str, ...] = Lexicon.
     return F.when(contains_any(asked, terms), "web_search").when(prepared, "retrieve").otherwise("llm")
 
 
-def relevance_gate(score: Column, has_context: Column, attempts: Column, most: int = 3) -> Column:
+def relevance_gate(score: Column, has_context: Column, attempts: Column, most: int = SETTINGS.max_rewrite_attempts) -> Column:
     return F.when(~has_context, "no_context_response").when(score == "yes", "generate_answer").when(attempts >= most, "no_context_response").otherwise("improve")
 
 
-def critique_gate(needs: Column, feedback: Column, attempts: Column, most: int = 2) -> Column:
+def critique_gate(needs: Column, feedback: Column, attempts: Column, most: int = SETTINGS.max_critique_attempts) -> Column:
     again = needs & (F.coalesce(feedback, F.lit("")) != "")
     return F.when(attempts >= most, "end").when(again, "generate_answer").otherwise("end")

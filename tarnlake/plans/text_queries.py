@@ -117,7 +117,7 @@ def sanitize_documents(spark, sf_dir):
 def message_check(spark, sf_dir):
     k = F.col("k")
     message = F.when(k % 4 == 0, " \t\n").when(k % 4 == 1, "\x07 \x85").when(k % 4 == 2, F.col("props"))
-    return events(spark, sf_dir).select("event_id", text.message_error(message).alias("error"))
+    return events(spark, sf_dir).select("event_id", text.message_error(text.sanitize(message)).alias("error"))
 
 
 def _fenced(k):

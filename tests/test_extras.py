@@ -66,3 +66,13 @@ def test_template(spark):
     got = spark.range(1).select(fill_template("Q: {q} / {x}{y}", q=F.lit("say {y} $1"), y=F.lit("SECRET"), z=F.lit(None)).alias("t")).first()["t"]
     assert got == "Q: say {y} $1 / {x}SECRET"  # what stands in a value is not searched again
     assert spark.range(1).select(fill_template("a {z}b", z=F.lit(None)).alias("t")).first()["t"] == "a b"
+
+
+def test_checked_message(spark):
+    from tarnlake.operators.logs import checked_message
+
+    df = spark.createDataFrame([(" a\x07b ",)], "m string")
+    assert df.select(checked_message(F.col("m")).alias("m")).first()["m"] == "ab"
+    for bad in (" \x07 ", None):
+        with pytest.raises(Exception, match="empty or invalid"):
+            spark.createDataFrame([(bad,)], "m string").select(checked_message(F.col("m")).alias("m")).collect()
