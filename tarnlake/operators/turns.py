@@ -24,12 +24,15 @@ def append_turns(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.unionByName(numbered.select(*existing.columns))
 
 
+def newest(rows: DataFrame, version: str, key: list[str] | None = None) -> DataFrame:
+    """One row for each key, that of the highest ``version``, a column which goes."""
+    w = Window.partitionBy(*(key or KEY)).orderBy(F.desc(version))
+    return rows.withColumn("_at", F.row_number().over(w)).filter("_at = 1").drop(version, "_at")
+
+
 def upsert(existing: DataFrame, batch: DataFrame, key: list[str] | None = None) -> DataFrame:
     """One row for each key, the batch's where it has one. Plain Parquet has no merge, so both are ranked once."""
-    key = key or KEY
-    w = Window.partitionBy(*key).orderBy(F.desc("_new"))
-    both = existing.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
-    return both.withColumn("_at", F.row_number().over(w)).filter("_at = 1").drop("_new", "_at")
+    return newest(existing.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1))), "_new", key)
 
 
 def missing_after(result: DataFrame, batch: DataFrame, key: list[str] | None = None) -> DataFrame:

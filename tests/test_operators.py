@@ -182,17 +182,52 @@ def test_fusion(spark):
 def test_stream_numbering(spark, tmp_path):
     from pyspark.sql import functions as F
 
-    source = tmp_path / "in"
-    for k, rows in enumerate([[("a", 1), ("b", 2), ("a", 3)], [("a", 4), ("c", 5)]]):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    parts = [[("a", 1), ("b", 2), ("a", 3)], [("a", 4), ("c", 5)], [("c", 6)], [("a", 7)], [("d", 8)]]
+    for k, rows in enumerate(parts):
         spark.createDataFrame([(s, i, "m") for s, i in rows], "session_id string, id long, user_message string").coalesce(1).write.parquet(f"{source}/{k}")
+    assert stream_turns.read_table(spark, out) is None
     stream = spark.readStream.schema("session_id string, id long, user_message string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(source))
-    q = stream_turns.upsert_sink(stream_turns.number_turns(stream), str(tmp_path / "out"), str(tmp_path / "check"))
+    q = stream_turns.upsert_sink(stream_turns.number_turns(stream), out, str(tmp_path / "check"), fanout=2)
     q.awaitTermination(120)
     assert q.exception() is None
-    last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name[1:]))
-    got = spark.read.parquet(str(last)).groupBy("session_id").agg(F.sort_array(F.collect_list("turn_index")).alias("t")).collect()
-    assert {r.session_id: r.t for r in got} == {"a": [1, 2, 3], "b": [1], "c": [1]}
-    assert sum(1 for _ in (tmp_path / "out").iterdir()) <= 2  # the table and the version that a replay would read
+    got = stream_turns.read_table(spark, out).groupBy("session_id").agg(F.sort_array(F.collect_list("turn_index")).alias("t")).collect()
+    assert {r.session_id: r.t for r in got} == {"a": [1, 2, 3, 4], "b": [1], "c": [1, 2], "d": [1]}
+    assert stream_turns.runs(spark, out) == ([(0, 3), (4, 4)], [])  # two by two, and those four as one
+
+
+def test_sink_replays_and_upserts(spark, tmp_path):
+    path, schema = str(tmp_path), "session_id string, turn_index long, v long"
+
+    def batch(k, rows):
+        kept = []
+
+        class Stream:  # hands its batches to what the sink would give to foreachBatch
+            writeStream = property(lambda self: self)
+            option = trigger = lambda self, *a, **k: self
+            start = lambda self: None
+
+            def foreachBatch(self, merge):  # noqa: N802
+                kept.append(merge)
+                return self
+
+        stream_turns.upsert_sink(Stream(), path, "", fanout=2)
+        kept[0](spark.createDataFrame(rows, schema), k)
+
+    def table():
+        return sorted(map(tuple, stream_turns.read_table(spark, path).collect()))
+
+    batch(0, [("a", 1, 0), ("a", 2, 0)])
+    batch(1, [("a", 2, 1), ("b", 1, 1)])
+    assert table() == [("a", 1, 0), ("a", 2, 1), ("b", 1, 1)]
+    assert stream_turns.runs(spark, path) == ([(0, 1)], [(0, 0), (1, 1)])
+    batch(1, [("a", 2, 1), ("b", 1, 1)])  # a replay
+    assert table() == [("a", 1, 0), ("a", 2, 1), ("b", 1, 1)]
+    batch(2, [("b", 1, 2)])
+    assert table() == [("a", 1, 0), ("a", 2, 1), ("b", 1, 2)]
+    assert stream_turns.runs(spark, path) == ([(0, 1), (2, 2)], [])
+    (tmp_path / "run-0-2").mkdir()  # a run without its commit mark
+    assert table() == [("a", 1, 0), ("a", 2, 1), ("b", 1, 2)]
 
 
 def test_one_conversation_over_many_ranges(spark):
