@@ -2,6 +2,11 @@
 
 quality rules (documents that a rule rejects go), toxicity (toxic documents go), near-dedup (one document
 of each class stays), packing (the kept documents' pieces in windows).
+
+Null and empty texts have no words, so the first stage rejects them; texts of any length are read whole by every stage. Rows
+are judged each on their own until near-dedup, which keeps one of equal rows, as of equal texts. A null doc_id is an id
+like others, but its label is never learned. Other columns pass through whatever their names until packing, which
+returns its own. An empty table gives no rows, and without labels no document counts as toxic.
 """
 
 from __future__ import annotations

@@ -185,7 +185,8 @@ def coder(path: str) -> BacktrackingBPE:
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and SHA-256 of the ids (little-endian uint32) and of the decoded text.
 
-    Row by row, without a shuffle; null and empty texts give no ids. Repeated rows repeat.
+    Row by row, without a shuffle; null and empty texts give no ids, texts of any length are coded whole. Repeated rows
+    repeat, null ids stay null, an empty table gives no rows; other columns take no part.
     """
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -112,8 +112,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, unit: int, end_
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, unit: int = 512, group: int = 1024) -> DataFrame:
-    """One row for each piece with its sequence and offset. Repeated rows are packed as often as they
-    occur; an empty table gives no rows. Sequence ids are unique, not dense."""
+    """One row for each piece with its sequence and offset. Sequence ids are unique, not dense.
+
+    Null and empty texts have the end id alone; a text of any length is encoded whole and fills as many windows as it needs.
+    Repeated rows, and rows without an id, are packed as often as they occur; an empty table gives no rows; other
+    columns take no part.
+    """
     scratch = Scratch(docs.sparkSession, "packing")
     pieces = token_pieces(docs, tokenizer, capacity, unit, end_id).withColumn("_row", F.monotonically_increasing_id())
     pieces = scratch.table(pieces, "pieces", keep=True)  # fixes _row, by which pieces are dealt: no key can be hot

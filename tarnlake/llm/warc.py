@@ -12,6 +12,7 @@ import hashlib
 import io
 import struct
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import zstandard
@@ -78,7 +79,7 @@ def render(page_id: int | None, url: str | None, body: bytes, refers_to: int | N
         f"WARC-Type: {'revisit' if refers_to is not None else 'response'}",
         f"WARC-Record-ID: {page_uri(page_id)}",
         f"WARC-Target-URI: {target}",
-        f"WARC-Date: {date or '1970-01-01T00:00:00Z'}",
+        f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(sha).decode()}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
@@ -89,7 +90,12 @@ def render(page_id: int | None, url: str | None, body: bytes, refers_to: int | N
 
 
 def write_archives(pages: DataFrame, folder: str, dictionary: bytes, min_revisit: int = 1000, date: str = "") -> DataFrame:
-    """Write every row as a record; returns the files' manifest (lazy). Payloads move once, by page_id."""
+    """Write every row as a record; returns the files' manifest (lazy). Payloads move once, by page_id.
+
+    ``date`` is that of all records; unless given, the time of this call. A null html is an empty payload, a null url
+    about:blank. Record ids come from page_ids, so rows that repeat a page_id share theirs; null ones are named none.
+    """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     digest = F.sha1(payload().cast("binary"))
     marked = mark_revisits(pages, min_revisit).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload().alias("html"), digest.alias("digest"))
@@ -163,7 +169,11 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
-    """Write, then read back. An empty table writes no file and gives no rows."""
+    """Write, then read back: a row for each page, repeated rows and rows without an id too.
+
+    A null html counts as an empty payload; payloads of any length are written whole, each as one frame. An empty table writes
+    no file and gives no rows. Other columns take no part.
+    """
     scratch = Scratch(pages.sparkSession, "warc")
     dictionary = train_dictionary(pages)
     manifest = scratch.table(write_archives(pages, scratch.path("files"), dictionary, min_revisit), "manifest", keep=True)

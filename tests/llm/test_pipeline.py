@@ -1,4 +1,6 @@
+import random
 import zlib
+from collections import Counter
 
 from public_tokenizers import path
 from test_neardup import brute_classes
@@ -52,3 +54,28 @@ def test_stages_keep_the_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
+
+
+def test_odd_rows(spark, tmp_path):
+    rnd = random.Random(4)
+    prose = lambda n: " ".join("".join(rnd.choices("abcdefghij", k=rnd.randint(3, 9))) for _ in range(n))
+    one, other, long = prose(80), prose(90), prose(40_000)
+    rows = [(1, one), (1, one), (7, one), (None, other), (2, None), (3, ""), (4, " \n\t"), (5, "a b c"), (6, long), (8, "again " * 200)]
+    names = ["body", "node", "row", "score", "_text", "_w", "_row", "_counts", "start", "length", "kept", "rank"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"cast(null as string) `{c}`" for c in names])
+    labels = spark.createDataFrame([(1, 0), (None, 1), (6, None)], "doc_id long, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    tok = Tokenizer.from_file(path("word_bpe_49k.json"))
+    got = Counter()
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r.doc_id] += r.length
+    assert got == {d: len(tok.encode(t, add_special_tokens=False).ids) + 1 for d, t in ((1, one), (None, other), (6, long))}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
