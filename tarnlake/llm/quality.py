@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tarnlake.llm.scratch import Scratch
 
 WORD, SPACE_RUN = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOL = r"[#*$%&|<>]"
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -59,20 +59,26 @@ def windows(words: Column) -> Column:
     return F.when(last > 0, F.slice(hashes, F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<long>"))
 
 
-def repeat_words(words: Column) -> Column:
-    """Words covered by three-word windows that occur twice or more.
+def repeat_words(words: Column, most: Callable[[Column], Column] | None = None) -> Column:
+    """Words covered by three-word windows that occur twice or more; null where they are at most ``most`` (of the number
+    of windows that repeat an earlier hash, each of which covers six words at most).
 
-    Texts without any repeated window hash, which are most, leave at a hash-set test. For the rest the
-    (hash, start) pairs are sorted, neighbours of equal hash are compared word by word, and the union
-    of the windows found is measured from their sorted starts.
+    Texts without any repeated window hash, which are most, leave at a hash-set test. For the rest, 33 bits of each hash
+    with the window's start behind them are sorted as plain numbers; windows alone with their bits drop out. The others'
+    (hash, start) pairs are sorted, neighbours of equal hash are compared word by word, and the union of the
+    windows found is measured from their sorted starts.
     """
     three = lambda i: F.slice(words, i + 1, 3)
     same = lambda a, b: F.coalesce((a["h"] == b["h"]) & (three(a["i"]) == three(b["i"])), F.lit(False))
+    alike = lambda a, b: F.shiftright(a.bitwiseXOR(b), 31) == 0
 
     def covered(grams: Column) -> Column:
-        pairs = F.array_sort(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        marked = F.sort_array(F.transform(grams, lambda h, i: F.shiftleft(h, 31).bitwiseOR(i.cast("long"))))
+        several = bound(marked, lambda s: F.filter(s, lambda x, k: alike(x, F.get(s, k - 1)) | alike(x, F.get(s, k + 1))))
+        start = lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+        pairs = F.sort_array(F.transform(several, lambda x: F.struct(F.get(grams, start(x)).alias("h"), start(x).alias("i"))))
         repeated = lambda s: F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
-        starts = bound(pairs, lambda s: F.array_sort(F.transform(repeated(s), lambda x: x["i"])))
+        starts = bound(pairs, lambda s: F.sort_array(F.transform(repeated(s), lambda x: x["i"])))
         return F.aggregate(
             starts,
             F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("at")),
@@ -80,7 +86,13 @@ def repeat_words(words: Column) -> Column:
             lambda acc: acc["n"],
         )
 
-    return bound(windows(words), lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("long")).otherwise(covered(g)))
+    def measured(grams: Column) -> Column:
+        again = F.size(grams) - F.size(F.array_distinct(grams))
+        nothing = F.lit(0).cast("long")
+        found = lambda n: F.when(n == 0, nothing) if most is None else F.when(most(n), F.lit(None).cast("long"))
+        return bound(again, lambda n: found(n).otherwise(covered(grams)))
+
+    return bound(windows(words), measured)
 
 
 class Parts:
@@ -97,10 +109,10 @@ class Parts:
         return self._or("n_words", lambda: F.size("_w").cast("long"))
 
     def word_chars(self) -> Column:
-        return self._or("word_chars", lambda: F.length(F.translate("_text", SPACES, "")).cast("long"))
+        return self._or("word_chars", lambda: F.length(F.array_join("_w", "")).cast("long"))
 
     def n_symbols(self) -> Column:
-        return self._or("n_symbols", lambda: (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"))
+        return self._or("n_symbols", lambda: (F.length("_text") - F.length(F.regexp_replace("_text", SYMBOL, ""))).cast("long"))
 
     def lines(self) -> Column:
         """Struct(n: lines with a word, dup: those equal to an earlier one)."""
@@ -115,11 +127,14 @@ class Parts:
 
     def repeats_over(self, pct: int) -> Column:
         """100 * n_repeat_words > pct * n_words. A repeated window's words occur elsewhere too, so c covered words leave
-        n_words - c / 2 distinct ones at most: texts with more than (1 - pct / 200) * n_words need no windows."""
+        n_words - c / 2 distinct ones at most: texts with more than (1 - pct / 200) * n_words need no windows. Where n
+        windows repeat an earlier one, at most 2 n windows are repeated at all, and they cover 6 n words: texts
+        for which that is too few need no comparing."""
         if "n_repeat_words" in self._counted:
             return 100 * self.n_repeat_words() > pct * self.n_words()
         few = 200 * F.size(F.array_distinct("_w")) <= (200 - pct) * F.size("_w")
-        return F.when(few, 100 * self.n_repeat_words() > pct * self.n_words()).otherwise(False)
+        covered = repeat_words(F.col("_w"), lambda n: 600 * n.cast("long") <= pct * F.size("_w"))
+        return F.when(few, F.coalesce(100 * covered > pct * self.n_words(), F.lit(False))).otherwise(False)
 
 
 @dataclass(frozen=True)
