@@ -1,7 +1,7 @@
 """The corpus pipeline: STAGES in order, each reading what its predecessor kept.
 
 quality rules (documents that a rule rejects go), toxicity (toxic documents go), near-dedup (one document
-of each class stays), packing (the kept documents' pieces in windows).
+of each class stays, by exact document frequencies of what came so far), packing (the kept documents' pieces in windows).
 
 Null and empty texts have no words, so the first stage rejects them; texts of any length are read whole by every stage. Rows
 are judged each on their own until near-dedup, which keeps one of equal rows, as of equal texts. A null doc_id is an id
@@ -27,7 +27,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_one_of_each(docs)
+    return neardup.keep_one_of_each(docs, floor=0)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

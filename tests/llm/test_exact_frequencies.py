@@ -74,3 +74,11 @@ def test_tables_without_words(spark):
     for texts in ([], [None], ["", " ", None]):
         df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
         assert [(r.doc_id, r.class_id) for r in neardup.near_duplicates(df, floor=0).orderBy("doc_id").collect()] == [(i, 0) for i in range(len(texts))]
+
+
+def test_pipeline_weighs_rare_shingles_by_their_own_frequency(spark):
+    docs = corpus(3)
+    classes = exact_classes(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = dict(__import__("corpus_pipeline").STAGES)["near-dedup"](spark, df, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(classes.values())) != sorted(set(brute_classes(docs).values()))
