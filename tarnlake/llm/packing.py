@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.llm.scratch import Scratch
 from tarnlake.llm.tokens import WordEncoder, encoder, little
+from tarnlake.llm.workers import drop_kept
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -124,6 +125,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     groups = max(1, -(-pieces.count() // group))
 
     def pack(rows: pa.Table) -> pa.Table:
+        drop_kept()  # all texts are encoded
         rows = rows.sort_by("_row")
         length = rows["length"].to_numpy()
         window = pack_group(length.tolist(), capacity)

@@ -17,6 +17,8 @@ from functools import cached_property
 
 import numpy as np
 
+from tarnlake.llm.workers import kept
+
 _SPACE_THEN_SPACE = re.compile(r" (?=\s|\Z)")
 _SAFE_SPACE = re.compile(r" (?=\S)")
 _PLAIN_SPACES = re.compile(r"[ \t\n\r]+")
@@ -157,11 +159,11 @@ class WordEncoder:
         return b"".join(map(self._cache.__getitem__, _PLAIN_SPACES.split(text)))
 
 
-_ENCODERS: dict[tuple, ByteEncoder | WordEncoder] = {}
+_ENCODERS: dict[tuple, ByteEncoder | WordEncoder] = kept()
 
 
 def encoder(kind: type, path: str) -> ByteEncoder | WordEncoder:
-    """One for each worker process; Spark reuses workers, so caches outlive tasks."""
+    """One for each worker process; Spark reuses workers, so caches outlive tasks, until another operator's task comes."""
     if (kind, path) not in _ENCODERS:
         _ENCODERS[kind, path] = kind(path)
     return _ENCODERS[kind, path]

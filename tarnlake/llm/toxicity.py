@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.llm.scratch import bound_batches
+from tarnlake.llm.workers import lean
 
 _WORD = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.3
@@ -133,7 +134,8 @@ def sample_texts(docs: DataFrame, chosen: DataFrame, most: int, most_bytes: int)
     fits = sizes.filter(pa.array((n > 0) & (np.cumsum(n) <= most_bytes)))["h"].to_pylist()
     if not fits:
         return []
-    wanted = docs.sparkSession.createDataFrame([(h,) for h in fits], "h long")  # at most ``most`` rows
+    # at most ``most`` rows; as an Arrow table, since a list goes through Python workers on the executors
+    wanted = docs.sparkSession.createDataFrame(pa.table({"h": pa.array(fits, pa.int64())}))
     found = keyed.join(F.broadcast(wanted), "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h")
     return found.select("text").toArrow()["text"].to_pylist()
 
@@ -199,7 +201,7 @@ def score_documents(docs: DataFrame, model: Model, column: str = "score") -> Dat
 
     bound_batches(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(score, f"{schema}, `{column}` double")
+    return docs.mapInArrow(lean(score), f"{schema}, `{column}` double")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:  # noqa: B008
